@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The characters that count as Unicode white space.
 SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+_SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
 # English and Spanish stop words dropped from questions.
 STOP_WORDS = (
     "a an and are as at be by do does did for from how in is it its of on or our that the their there these they "
@@ -19,7 +21,7 @@ STOP_WORDS = (
 
 def strip_space(value: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(value, F.lit(_SPACE_CHARS))
 
 
 def slug(value: Column) -> Column:
@@ -29,7 +31,7 @@ def slug(value: Column) -> Column:
     """
     kept = F.regexp_replace(F.lower(strip_space(value)), rf"[^\p{{L}}\p{{N}}_{SPACE}-]", "")
     dashed = F.regexp_replace(kept, f"[{SPACE}_]+", "-")
-    return F.regexp_replace(dashed, "^-+|-+$", "")
+    return F.btrim(dashed, F.lit("-"))
 
 
 def words(value: Column) -> Column:
