@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ ENTITY = re.compile(r"&#?\w{1,31};")
 BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|th|table|h[1-6]|hr)\b[^<>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 NOTE_MARK = re.compile(r"\[\^?\d{1,3}\]|\^\d{1,3}\b|[¹²³⁰-⁹†‡]+")
-LINE_LEAD = re.compile(r"(?m)^[ \t>]*(?:[-+]|\d{1,2}[.)]|#{1,6})[ \t]+")
+LINE_NUMBER = re.compile(r"(?:\n|\A)[ \t>]*\d{1,2}[.)][ \t]")
 LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
 SOFT_BREAK = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])")
 WORD = re.compile("[^\\W_](?:[^\\W_]|\x00)*")
@@ -46,8 +46,13 @@ def bare(text: str) -> str:
         text = ENTITY.sub(_entity, text)
     if "<" in text:
         text = TAG.sub(void, BREAK_TAG.sub(blank, text))
-    text = NOTE_MARK.sub(blank, LINE_LEAD.sub(blank, text))
-    text = SOFT_BREAK.sub(void, LINK_TARGET.sub(blank, text))
+    if not text.isascii() or "[" in text or "^" in text:
+        text = NOTE_MARK.sub(blank, text)
+    if "](" in text:
+        text = LINK_TARGET.sub(blank, text)
+    if "-\n" in text or "-\r" in text:
+        text = SOFT_BREAK.sub(void, text)
+    text = LINE_NUMBER.sub(blank, text)
     return INVISIBLE.sub(void, text)
 
 
@@ -102,11 +107,19 @@ class ItemIndex:
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Positions of windows that also occur in an item."""
-        keys = self.keys(ids)
-        if not len(keys) or not len(self.sorted_keys):
+        count = len(ids) - self.gram + 1
+        if count <= 0 or not len(self.sorted_keys):
             return np.zeros(0, dtype=np.int64)
-        at = np.searchsorted(self.sorted_keys, keys).clip(max=len(self.sorted_keys) - 1)
-        return np.flatnonzero(self.sorted_keys[at] == keys)
+        known = ids > 0
+        whole = known[:count].copy()
+        for k in range(1, self.gram):
+            whole &= known[k : k + count]
+        at = np.flatnonzero(whole)
+        if not len(at):
+            return at
+        keys = self.keys(ids)[at]
+        place = np.searchsorted(self.sorted_keys, keys).clip(max=len(self.sorted_keys) - 1)
+        return at[self.sorted_keys[place] == keys]
 
 
 def best_window(same: np.ndarray, run: int, window: int, one_in: int) -> tuple[int, int] | None:
@@ -120,18 +133,31 @@ def best_window(same: np.ndarray, run: int, window: int, one_in: int) -> tuple[i
         # A window holds if its equal words weigh up the altered ones: +1 and -(one_in - 1), in sum at least 0.
         sums = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - one_in))))
         low = np.minimum.accumulate(sums)
-        for end in np.flatnonzero(sums[window:] >= low[: len(sums) - window]) + window:
-            start = int(np.flatnonzero(sums[: end - window + 1] <= sums[end])[0])
-            if best is None or end - start > best[1] - best[0] + 1:
-                best = (start, int(end) - 1)
+        ends = np.flatnonzero(sums[window:] >= low[: len(sums) - window]) + window
+        if len(ends):
+            starts = np.searchsorted(-low, -sums[ends])
+            k = int(np.argmax(ends - starts))
+            if best is None or ends[k] - starts[k] > best[1] - best[0] + 1:
+                best = (int(starts[k]), int(ends[k]) - 1)
     return best
 
 
+def fewest_hits(run: int, window: int, one_in: int, gram: int) -> int:
+    """Intact n-grams that a passage to be found has at least: each altered word costs itself and parts its neighbours."""
+    loose = min(n - n // one_in - (n // one_in + 1) * (gram - 1) for n in range(window, window + 2 * one_in))
+    return max(1, min(run - gram + 1, loose))
+
+
 def verified(ids: np.ndarray, index: ItemIndex, run: int, window: int, one_in: int) -> dict[int, tuple[int, int, int]]:
     """Items that a document holds: item -> (first word, last word, altered words)."""
-    diagonals = {(item, int(at) - place) for at in index.hits(ids) for item, place in index.places[int(index.keys(ids[at : at + index.gram])[0])]}
+    hits = index.hits(ids)
+    least = fewest_hits(run, window, one_in, index.gram)
+    if len(hits) < least:
+        return {}
+    keys = index.keys(ids)[hits]
+    diagonals = Counter((item, int(at) - place) for at, key in zip(hits, keys) for item, place in index.places[int(key)])
     out: dict[int, tuple[int, int, int]] = {}
-    for item, shift in sorted(diagonals):
+    for item, shift in sorted(d for d, count in diagonals.items() if count >= least):
         words = index.words[item]
         begin, end = max(0, shift), min(len(ids), shift + len(words))
         same = ids[begin:end] == words[begin - shift : end - shift]
@@ -179,14 +205,14 @@ def find_leaks(
                 rows: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "first_char", "last_char", "words", "altered")}
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                     clean = bare(text)
-                    ids = []
-                    for w in WORD.findall(clean):
-                        n = known.get(w)
-                        if n is None:
-                            n = number.get(normal(w), 0)
-                            if len(known) < 500_000:
-                                known[w] = n
-                        ids.append(n)
+                    words = WORD.findall(clean)
+                    ids = list(map(known.get, words))
+                    if None in ids:
+                        if len(known) > 500_000:
+                            known.clear()
+                        for k, n in enumerate(ids):
+                            if n is None:
+                                ids[k] = known[words[k]] = number.get(normal(words[k]), 0)
                     found = verified(np.array(ids, dtype=np.int64), index, run, window, one_in)
                     if found:
                         spans = [m.span() for m in WORD.finditer(clean)]
