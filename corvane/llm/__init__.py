@@ -1,4 +1,4 @@
 """Operators for preparing training data. Nothing outside this subpackage imports it."""
 
 #: Modules with ``queries()`` and ``oracle_sql()``.
-MODULES = ("leaks", "names", "split", "subjects", "transcripts", "vectors")
+MODULES = ("leaks", "names", "packing", "split", "subjects", "transcripts", "vectors")
