@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.dates import first_day, is_blank, last_day
 from corvane.functions.text import slug, strip_space
 from corvane.operators.intervals import merge_intervals
+from corvane.plans.base import sql_slug, sql_strip
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,19 +31,6 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SPACE = r"[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
-
-
-def sql_slug(x: str) -> str:
-    inner = SPACE[1:-1]
-    kept = rf"regexp_replace(lower({sql_strip(x)}), '[^\p{{L}}\p{{N}}_{inner}-]', '', 'g')"
-    return f"regexp_replace(regexp_replace({kept}, '[{inner}_]+', '-', 'g'), '^-+|-+$', '', 'g')"
-
-
 P5_SQL = f"""
 WITH raw AS (
   SELECT {sql_slug('subject')} AS subject, lower({sql_strip('predicate')}) AS predicate,
