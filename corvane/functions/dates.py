@@ -11,7 +11,8 @@ from corvane.functions.text import strip_space
 def _padded(value: Column, month: str) -> Column:
     text = strip_space(value)
     return (
-        F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
+        F.when(text.startswith("0000"), F.lit(None))
+        .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text)
         .when(text.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.concat(text, F.lit("-01")))
         .when(text.rlike(r"^[0-9]{4}$"), F.concat(text, F.lit(f"-{month}-01")))
     )

@@ -203,7 +203,8 @@ def area(source: Column, path: Column, root: str = "root") -> Column:
 
 def freshness(day: Column, as_of: Column) -> Column:
     """1 for today, a half after 1825 days; 0.3 without a date."""
-    return F.coalesce(1 / (1 + F.greatest(F.lit(0), F.datediff(as_of, day)) / 1825.0), F.lit(0.3))
+    age = F.when(day.isNotNull(), F.greatest(F.lit(0), F.datediff(as_of, day)))
+    return F.coalesce(1 / (1 + age / 1825.0), F.lit(0.3))
 
 
 def quality(path: Column, title: Column, weight: Column) -> Column:

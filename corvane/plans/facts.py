@@ -38,10 +38,10 @@ WITH raw AS (
   FROM assertions),
 dated AS (
   SELECT subject, predicate,
-    CASE WHEN regexp_full_match(s, '[0-9]{{4}}') THEN try_cast(s || '-01-01' AS DATE)
+    CASE WHEN starts_with(s, '0000') THEN NULL WHEN regexp_full_match(s, '[0-9]{{4}}') THEN try_cast(s || '-01-01' AS DATE)
          WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}') THEN try_cast(s || '-01' AS DATE)
          WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(s AS DATE) END AS a,
-    CASE WHEN u = '' THEN DATE '9999-12-31'
+    CASE WHEN u = '' THEN DATE '9999-12-31' WHEN starts_with(u, '0000') THEN NULL
          WHEN regexp_full_match(u, '[0-9]{{4}}') THEN try_cast(u || '-12-31' AS DATE)
          WHEN regexp_full_match(u, '[0-9]{{4}}-[0-9]{{2}}') THEN last_day(try_cast(u || '-01' AS DATE))
          WHEN regexp_full_match(u, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(u AS DATE) END AS b
