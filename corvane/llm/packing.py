@@ -208,7 +208,7 @@ def pack(docs: DataFrame, capacity: int = 2048, small: int | None = None, groups
         slack = list(zip(held["room"].tolist(), held["container"].tolist()))
         fresh = first_new + int(key[0]) * (1 << 32)
         pieces["container"] = best_fit(slack, pieces["tokens"].tolist(), capacity, fresh)
-        return pieces[["container", "doc_id", "piece", "tokens"]]
+        return pieces[["container", "doc_id", "piece", "tokens"]].astype({"container": "int64"})
 
     filled = rooms.groupBy("shard").cogroup(loose.groupBy("shard")).applyInPandas(fill, f"container long, doc_id {kind}, piece int, tokens int")
     return placed.unionByName(filled)
