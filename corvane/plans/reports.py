@@ -169,12 +169,14 @@ def entity_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Entities whose slug contains that of an entity without description, up to eight for each: pairs are found by shared words, not by comparing all."""
-    named = read(spark, d, "entities").select("id", "norm", F.coalesce(strip_space(F.col("description")), F.lit("")).alias("description"))
-    word = F.explode(F.array_distinct(F.split("norm", "-"))).alias("word")
-    asked = named.where("description = '' AND norm <> ''").select(F.col("id").alias("asked"), F.col("norm").alias("part"), F.substring_index("norm", "-", 1).alias("word"))
-    other = named.select("id", "norm", word)
-    pairs = asked.join(other, "word").where((F.col("asked") != F.col("id")) & F.col("norm").contains(F.col("part"))).select("asked", "id", "norm").distinct()
+    """Entities in whose slug that of an entity without description stands as whole words, up to eight for each: runs of words are joined, pairs not compared."""
+    named = read(spark, d, "entities").where("norm <> ''").select("id", "norm", F.coalesce(strip_space(F.col("description")), F.lit("")).alias("description"))
+    asked = named.where("description = ''").select(F.col("id").alias("asked"), F.col("norm").alias("part"))
+    parts = F.split("norm", "-")
+    starts = F.sequence(F.lit(1), F.size(parts))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), "-"))))
+    other = named.select("id", "norm", F.explode(F.array_distinct(runs)).alias("part"))
+    pairs = asked.join(other, "part").where("asked <> id")
     best = Window.partitionBy("asked").orderBy("norm", "id")
     return pairs.withColumn("place", F.row_number().over(best)).where("place <= 8").select("asked", "id", "place")
 
@@ -310,7 +312,7 @@ SQL = {
     "entity_documents": f"""WITH {CHUNKS_SQL}, {MENTIONS_SQL}, n AS (SELECT entity, doc_id, count(*) AS mentions FROM mention JOIN chunk ON chunk.id = chunk_id GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mentions DESC, doc_id) AS place FROM n QUALIFY place <= 20""",
     "did_you_mean": f"""SELECT a.id AS asked, b.id, row_number() OVER (PARTITION BY a.id ORDER BY b.norm, b.id) AS place
-      FROM entities a JOIN entities b ON a.id <> b.id AND contains(b.norm, a.norm) AND list_contains(string_split(b.norm, '-'), split_part(a.norm, '-', 1))
+      FROM entities a JOIN entities b ON a.id <> b.id AND contains('-' || b.norm || '-', '-' || a.norm || '-') AND b.norm <> ''
       WHERE coalesce({sql_strip('a.description')}, '') = '' AND a.norm <> '' QUALIFY place <= 8""",
     "alias_claims": f"WITH {_CLAIMS} SELECT a, b FROM claim",
     "mutual_pairs": f"WITH {_CLAIMS} SELECT x.a, x.b FROM claim x JOIN claim y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
