@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.dates import first_day
 from corvane.functions.text import let, slug, strip_space
 
+# Fixed patterns: how the notes write line ends, front matter, metadata lines, links and facts.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 FRONT = r"\A---\s*\n((?s).*?)\n---\s*\n"
 ENTRY = r"(?m)^([^\s#-][^:\n]*):([^\n]*(?:\n\s*- [^\n]*)*)"
@@ -39,6 +40,7 @@ MONTHS = {
     "nov": 11, "november": 11, "noviembre": 11, "dec": 12, "december": 12, "dic": 12, "diciembre": 12,
 }
 _MONTH = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
+# Fixed patterns: dates in texts.
 ISO_DATE = r"(?<!\d)(20\d{2})[-_/](\d{1,2})[-_/](\d{1,2})(?!\d)"
 DAY_MONTH = rf"(?i)(?<!\d)(\d{{1,2}})[-_ ]({_MONTH})[a-z]*[-_ ,]+(20\d{{2}})"
 MONTH_DAY = rf"(?i)\b({_MONTH})[a-z]*[-_ ]+(\d{{1,2}})(?:st|nd|rd|th)?[-_ ,]+(20\d{{2}})"
