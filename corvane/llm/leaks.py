@@ -1,8 +1,8 @@
 """Evaluation texts that appear in training documents.
 
 The n-grams of the normalised evaluation items form a hash table that every task receives. Tasks scan the word windows of their
-documents against it and verify each hit by comparing document and item word by word along the hit's diagonal. The
-documents are read once and never shuffled. The table holds one entry for each word of the items; should they exceed
+documents against it and verify the hits by comparing document and item word by word along their diagonals, and by chaining the
+equal runs of neighbouring diagonals, which altered words of more or fewer tokens part. The documents are read once and never shuffled. The table holds one entry for each word of the items; should they exceed
 ``slice_words``, the documents are scanned once for each slice of items, so that what is broadcast stays bounded.
 """
 
@@ -12,7 +12,7 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ LINE_NUMBER = re.compile(r"(?:\n|\A)[ \t>]*\d{1,2}[.)][ \t]")
 LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
 SOFT_BREAK = re.compile(r"(?<=[^\W\d_])-\r?\n(?=[^\W\d_])")
 WORD = re.compile("[^\\W_](?:[^\\W_]|\x00)*")
+# What stands between the tokens of one word: baker's, well-known, 1,000.
+INNER = re.compile("['’‘ʼ‐‑.,:/_&-]\x00*")
 
 LEAKS = "item_id long, first_char int, last_char int, words int, altered int"
 
@@ -68,6 +70,11 @@ def tokens(text: str) -> list[str]:
     return [normal(w) for w in WORD.findall(bare(text))]
 
 
+def inner(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """1 for each token of a bare text that belongs to the word before it."""
+    return np.array([int(k > 0 and INNER.fullmatch(text, spans[k - 1][1], a) is not None) for k, (a, _) in enumerate(spans)], dtype=np.int64)
+
+
 def stock_openings(texts: list[str], shared_by: int = 3) -> set[str]:
     """First sentences that at least ``shared_by`` different items open with."""
     seen: dict[str, set[str]] = defaultdict(set)
@@ -82,13 +89,16 @@ class ItemIndex:
     """Words of the items as numbers, and where each n-gram of words occurs in them."""
 
     def __init__(self, items: list[tuple[int, str]], stock: set[str], gram: int) -> None:
-        self.gram, self.number, self.words = gram, {}, {}
+        self.gram, self.number, self.words, self.parts = gram, {}, {}, {}
         places = defaultdict(list)
         for item, text in items:
-            found = tokens(text)
+            clean = bare(text)
+            spans = [m.span() for m in WORD.finditer(clean)]
+            found = [normal(clean[a:b]) for a, b in spans]
             opening = next((s.split() for s in stock if found[: len(s.split())] == s.split()), [])
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in found[len(opening) :]], dtype=np.int64)
             self.words[item] = ids
+            self.parts[item] = np.cumsum(inner(clean, spans)[len(opening) :])
             for at, key in enumerate(self.keys(ids)):
                 places[int(key)].append((item, at))
         self.places = dict(places)
@@ -122,24 +132,31 @@ class ItemIndex:
         return at[self.sorted_keys[place] == keys]
 
 
-def best_window(same: np.ndarray, run: int, window: int, one_in: int) -> tuple[int, int] | None:
-    """First and last position of the longest match: ``run`` equal words, or ``window`` words with one in ``one_in`` altered."""
-    best = None
+def passages(same: np.ndarray, run: int, window: int, one_in: int) -> list[tuple[int, int]]:
+    """First and last positions of what the matches cover, apart from each other: ``run`` equal words, or ``window`` words with one in ``one_in`` altered. Altered words at the ends count but aren't covered."""
+    cover = np.zeros(len(same) + 1, dtype=np.int64)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
     for a, b in zip(edges[::2], edges[1::2]):
-        if b - a >= run and (best is None or b - a > best[1] - best[0] + 1):
-            best = (int(a), int(b) - 1)
-    if len(same) >= window:
+        if b - a >= run:
+            cover[a] += 1
+            cover[b] -= 1
+    if len(same) >= window and len(edges):
         # A window holds if its equal words weigh up the altered ones: +1 and -(one_in - 1), in sum at least 0.
         sums = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - one_in))))
-        low = np.minimum.accumulate(sums)
-        ends = np.flatnonzero(sums[window:] >= low[: len(sums) - window]) + window
-        if len(ends):
-            starts = np.searchsorted(-low, -sums[ends])
-            k = int(np.argmax(ends - starts))
-            if best is None or ends[k] - starts[k] > best[1] - best[0] + 1:
-                best = (int(starts[k]), int(ends[k]) - 1)
-    return best
+        highest = np.maximum.accumulate(sums[::-1])[::-1]
+        starts = np.arange(len(same) - window + 1)
+        ends = np.searchsorted(-highest, -sums[starts], side="right") - 1
+        holds = ends - starts >= window
+        equal = np.flatnonzero(same)
+        np.add.at(cover, equal[np.searchsorted(equal, starts[holds])], 1)
+        np.add.at(cover, equal[np.searchsorted(equal, ends[holds]) - 1] + 1, -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))))
+    return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
+
+
+def best_window(same: np.ndarray, run: int, window: int, one_in: int) -> tuple[int, int] | None:
+    """The longest of the passages."""
+    return max(passages(same, run, window, one_in), key=lambda p: (p[1] - p[0], -p[0]), default=None)
 
 
 def fewest_hits(run: int, window: int, one_in: int, gram: int) -> int:
@@ -148,22 +165,111 @@ def fewest_hits(run: int, window: int, one_in: int, gram: int) -> int:
     return max(1, min(run - gram + 1, loose))
 
 
-def verified(ids: np.ndarray, index: ItemIndex, run: int, window: int, one_in: int) -> dict[int, tuple[int, int, int]]:
-    """Items that a document holds: item -> (first word, last word, altered words)."""
+def chains(ids: np.ndarray, words: np.ndarray, shifts: tuple[int, int], parts: tuple[np.ndarray, np.ndarray], reach: int) -> list[list[tuple[int, int, int]]]:
+    """Runs of equal words in sequence over the diagonals ``shifts``, as lists of (place in the document, its length, altered words before it).
+
+    Between two runs as many words are altered as the document or the item has there, the greater number. ``parts`` counts, for the document
+    and the item, the tokens so far that begin no word of their own. A run follows the one that leaves most equal words less altered ones.
+    """
+    runs = []
+    for shift in range(shifts[0], shifts[1] + 1):
+        begin, end = max(0, shift), min(len(ids), shift + len(words))
+        if begin < end:
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids[begin:end] == words[begin - shift : end - shift]).astype(np.int8), [0])))) + begin
+            runs.extend(zip(edges[1::2].tolist(), edges[::2].tolist(), [shift] * (len(edges) // 2)))
+    runs.sort()
+    ours, theirs = parts[0].tolist(), parts[1].tolist()
+    longest = shifts[1] - shifts[0]
+    value, back = [0] * len(runs), [(-1, 0, 0)] * len(runs)
+    for q, (end, start, shift) in enumerate(runs):
+        best = None
+        for p in range(q - 1, -1, -1):
+            upto, _, before = runs[p]
+            if upto < start - 4 * reach - longest:
+                break
+            at = max(start, upto, upto - before + shift)
+            if at >= end:
+                continue
+            gap, other = at - upto, at - upto - shift + before
+            if gap > 1:
+                gap -= ours[at - 1] - ours[upto]
+            if other > 1:
+                other -= theirs[at - shift - 1] - theirs[upto - before]
+            altered = max(gap, other)
+            if altered <= reach and (best is None or value[p] - altered - at > best[0] - best[2]):
+                best = (value[p] - altered, p, at, altered)
+        value[q] = end - start
+        if best:
+            value[q] = end - best[2] + max(0, best[0])
+            back[q] = best[1:]
+    out, used = [], set()
+    for q in sorted(range(len(runs)), key=lambda q: -value[q]):
+        chain, fresh = [], 0
+        while q >= 0:
+            p, at, altered = back[q]
+            at = at if p >= 0 else runs[q][1]
+            fresh += 0 if q in used else runs[q][0] - at
+            chain.append((q, at, runs[q][0] - at, altered))
+            q = p
+        if fresh >= 4:
+            used.update(c[0] for c in chain)
+            out.append([c[1:] for c in chain[::-1]])
+    return out
+
+
+def verified(
+    ids: np.ndarray, index: ItemIndex, run: int, window: int, one_in: int, parts: Callable[[], np.ndarray] | None = None
+) -> dict[int, tuple[int, int, int]]:
+    """Items that a document holds: item -> (first word, last word, altered words).
+
+    An altered word may be of more or fewer tokens than the item's, inserted or left out, so the runs of an item are chained over
+    neighbouring diagonals. The shortest passage has fewer than ``2 * window`` words (else a half of it is one), so no more than
+    ``2 * window // one_in`` altered words shift it. ``parts`` gives the flags of the document's tokens that belong to the word before.
+    """
     hits = index.hits(ids)
     least = fewest_hits(run, window, one_in, index.gram)
     if len(hits) < least:
         return {}
     keys = index.keys(ids)[hits]
-    diagonals = Counter((item, int(at) - place) for at, key in zip(hits, keys) for item, place in index.places[int(key)])
+    diagonals: dict[int, Counter] = defaultdict(Counter)
+    for at, key in zip(hits.tolist(), keys.tolist()):
+        for item, place in index.places[key]:
+            diagonals[item][at - place] += 1
+    drift = (2 * window - 1) // one_in
+    ours = None
     out: dict[int, tuple[int, int, int]] = {}
-    for item, shift in sorted(d for d, count in diagonals.items() if count >= least):
+    for item, counts in sorted(diagonals.items()):
+        if counts.total() < least:
+            continue
         words = index.words[item]
-        begin, end = max(0, shift), min(len(ids), shift + len(words))
-        same = ids[begin:end] == words[begin - shift : end - shift]
-        found = best_window(same, run, window, one_in)
-        if found and (item not in out or found[1] - found[0] > out[item][1] - out[item][0]):
-            out[item] = (begin + found[0], begin + found[1], int((~same[found[0] : found[1] + 1]).sum()))
+        found: list[tuple[int, int, int]] = []
+        shifts = sorted(counts)
+        bounds = [0, *(k for k in range(1, len(shifts)) if shifts[k] - shifts[k - 1] > drift), len(shifts)]
+        for first, last in zip(bounds, bounds[1:]):
+            group = shifts[first:last]
+            if sum(counts[s] for s in group) < least:
+                continue
+            whole = False
+            for shift in group:
+                if counts[shift] >= least:
+                    begin, end = max(0, shift), min(len(ids), shift + len(words))
+                    same = ids[begin:end] == words[begin - shift : end - shift]
+                    for a, b in passages(same, run, window, one_in):
+                        found.append((begin + a, begin + b, int((~same[a : b + 1]).sum())))
+                        whole |= b - a + 1 == len(words)
+            if whole:
+                continue
+            if ours is None:
+                flags = parts() if parts else np.zeros(len(ids), dtype=np.int64)
+                ours = np.cumsum(flags)
+            for chain in chains(ids, words, (group[0] - drift, group[-1] + drift), (ours, index.parts[item]), max(drift, len(words) // (one_in - 1))):
+                # Altered words before the first and after the last run, as far as the document goes.
+                chain = [(chain[0][0], chain[0][1], min(drift, chain[0][0])), *chain[1:], (len(ids), 0, min(drift, len(ids) - sum(chain[-1][:2])))]
+                same = np.concatenate([np.repeat([False, True], [altered, n]) for _, n, altered in chain])
+                place = np.concatenate([np.arange(at - altered, at + n) for at, n, altered in chain])
+                found += [(int(place[a]), int(place[b]), int((~same[a : b + 1]).sum())) for a, b in passages(same, run, window, one_in)]
+        if found:
+            out[item] = max(found, key=lambda f: (f[1] - f[0], -f[0]))
     return out
 
 
@@ -175,7 +281,7 @@ def find_leaks(
     ``docs`` needs ``doc_id, text``, ``items`` needs ``item_id, text``; other columns are ignored. Result: ``doc_id``, ``item_id``,
     ``first_char`` and ``last_char`` (the passage in the document, last one excluded), ``words`` and ``altered``: one row for each
     document row and item of which it holds ``run`` consecutive words, or ``window`` words of which one in
-    ``one_in`` is altered; the longest such passage. Case, accents, punctuation, markup, entities, white space, note marks and
+    ``one_in`` is altered, inserted or left out; the longest such passage. Case, accents, punctuation, markup, entities, white space, note marks and
     invisible characters don't count. First sentences that several items share are no material. Null and empty texts and empty tables
     give no rows; null item ids are left out; items given twice count once, and items with the same id and other text are each looked for.
     """
@@ -213,9 +319,15 @@ def find_leaks(
                         for k, n in enumerate(ids):
                             if n is None:
                                 ids[k] = known[words[k]] = number.get(normal(words[k]), 0)
-                    found = verified(np.array(ids, dtype=np.int64), index, run, window, one_in)
+                    spans: list[tuple[int, int]] = []
+
+                    def parts(clean=clean, spans=spans):
+                        spans.extend(m.span() for m in WORD.finditer(clean))
+                        return inner(clean, spans)
+
+                    found = verified(np.array(ids, dtype=np.int64), index, run, window, one_in, parts)
                     if found:
-                        spans = [m.span() for m in WORD.finditer(clean)]
+                        spans = spans or [m.span() for m in WORD.finditer(clean)]
                         for item, (a, b, altered) in found.items():
                             for column, value in zip(rows, (doc, item, spans[a][0], spans[b][1], b - a + 1, altered)):
                                 rows[column].append(value)

@@ -55,3 +55,16 @@ def test_remove(spark):
     clean = {r.doc_id: r.text for r in remove_leaks(docs, find_leaks(docs, items)).collect()}
     assert clean[1].startswith("Before. ") and clean[1].endswith(" after") and "word" not in clean[1].lower()
     assert clean[2] == " ".join(W[5:19]) and clean[5] is None and len(clean) == 9
+
+
+def test_shifted(spark):
+    words = [f"{w}'s" if k % 8 == 3 else w for k, w in enumerate(W)]
+    other = lambda *at: " ".join("odd" if k in at else w for k, w in enumerate(words[:24]))
+    texts = {
+        1: other(3, 11, 19), 2: other(3, 7, 11, 19), 3: other(0, 11, 19), 4: " ".join([*words[:8], "odd", *words[8:16], *words[17:26]]), 5: " ".join([*words[:12], "an", "odd", "pair", *words[12:23]]),
+        6: " ".join(words[:11]) + " odd text in between, at some length, so that nothing goes on here " + " ".join(words[13:24]), 7: other(3, 11) + " 'odd'",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in find_leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert sorted(got) == [1, 3, 4, 5, 7] and got[1].altered == 3 and got[7].altered == 2
+    assert (got[1].first_char, got[1].last_char) == (0, len(texts[1])) and got[7].last_char == len(other(3, 11))
