@@ -219,8 +219,8 @@ def chains(ids: np.ndarray, words: np.ndarray, shifts: tuple[int, int], parts: t
 
 def verified(
     ids: np.ndarray, index: ItemIndex, run: int, window: int, one_in: int, parts: Callable[[], np.ndarray] | None = None
-) -> dict[int, tuple[int, int, int]]:
-    """Items that a document holds: item -> (first word, last word, altered words).
+) -> dict[int, list[tuple[int, int, int]]]:
+    """Items that a document holds: item -> all passages, none inside another: (first word, last word, altered words).
 
     An altered word may be of more or fewer tokens than the item's, inserted or left out, so the runs of an item are chained over
     neighbouring diagonals. The shortest passage has fewer than ``2 * window`` words (else a half of it is one), so no more than
@@ -237,7 +237,7 @@ def verified(
             diagonals[item][at - place] += 1
     drift = (2 * window - 1) // one_in
     ours = None
-    out: dict[int, tuple[int, int, int]] = {}
+    out: dict[int, list[tuple[int, int, int]]] = {}
     for item, counts in sorted(diagonals.items()):
         if counts.total() < least:
             continue
@@ -268,8 +268,9 @@ def verified(
                 same = np.concatenate([np.repeat([False, True], [altered, n]) for _, n, altered in chain])
                 place = np.concatenate([np.arange(at - altered, at + n) for at, n, altered in chain])
                 found += [(int(place[a]), int(place[b]), int((~same[a : b + 1]).sum())) for a, b in passages(same, run, window, one_in)]
-        if found:
-            out[item] = max(found, key=lambda f: (f[1] - f[0], -f[0]))
+        for a, b, altered in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
+            if item not in out or b > out[item][-1][1]:
+                out.setdefault(item, []).append((a, b, altered))
     return out
 
 
@@ -280,8 +281,8 @@ def find_leaks(
 
     ``docs`` needs ``doc_id, text``, ``items`` needs ``item_id, text``; other columns are ignored. Result: ``doc_id``, ``item_id``,
     ``first_char`` and ``last_char`` (the passage in the document, last one excluded), ``words`` and ``altered``: one row for each
-    document row and item of which it holds ``run`` consecutive words, or ``window`` words of which one in
-    ``one_in`` is altered, inserted or left out; the longest such passage. Case, accents, punctuation, markup, entities, white space, note marks and
+    passage of an item in a document row, so ids repeat: its longest stretches of ``run`` consecutive words, or ``window`` words of which one in
+    ``one_in`` is altered, inserted or left out. Case, accents, punctuation, markup, entities, white space, note marks and
     invisible characters don't count. First sentences that several items share are no material. Null and empty texts and empty tables
     give no rows; null item ids are left out; items given twice count once, and items with the same id and other text are each looked for.
     """
@@ -328,7 +329,7 @@ def find_leaks(
                     found = verified(np.array(ids, dtype=np.int64), index, run, window, one_in, parts)
                     if found:
                         spans = spans or [m.span() for m in WORD.finditer(clean)]
-                        for item, (a, b, altered) in found.items():
+                        for item, a, b, altered in ((i, *passage) for i, held in found.items() for passage in held):
                             for column, value in zip(rows, (doc, item, spans[a][0], spans[b][1], b - a + 1, altered)):
                                 rows[column].append(value)
                 yield pa.RecordBatch.from_pydict(

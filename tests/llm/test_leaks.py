@@ -68,3 +68,15 @@ def test_shifted(spark):
     got = {r.doc_id: r for r in find_leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
     assert sorted(got) == [1, 3, 4, 5, 7] and got[1].altered == 3 and got[7].altered == 2
     assert (got[1].first_char, got[1].last_char) == (0, len(texts[1])) and got[7].last_char == len(other(3, 11))
+
+
+def test_all_passages(spark):
+    texts = {
+        1: " ".join(W[:30]) + " middle " + " ".join(W[:20]) + " end", 2: "start " + " ".join(W[:16]) + " middle" * 60 + " " + " ".join(W[16:32]),
+        3: "start " + " ".join(W[15:32]) + " middle " + " ".join(W[:15]), 4: " ".join(W[:20]) + " odd pair " + " ".join(W[20:29]) + " middle " * 9 + " ".join(W[:14]),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    leaks = find_leaks(docs, spark.createDataFrame([(1, " ".join(W))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.words) for r in leaks.collect()) == [(1, 20), (1, 30), (2, 16), (2, 16), (3, 15), (3, 17), (4, 31)]
+    clean = {r.doc_id: r.text.split() for r in remove_leaks(docs, leaks).collect()}
+    assert clean == {1: ["middle", "end"], 2: ["start"] + ["middle"] * 60, 3: ["start", "middle"], 4: ["middle"] * 9 + W[:14]}
