@@ -77,12 +77,25 @@ def test_notes(spark):
         S.notes(rows.withColumn("facts", F.array(F.lit("nothing"))), "2026-06-30").collect()
 
 
-def test_meeting_answers():
-    assert R.event_data("event: x\ndata: {\"a\":\ndata: 1}\n\ndata: later\n") == '{"a":\n1}'
-    assert R.items(R.unwrapped({"result": {"structuredContent": {"meetings": [{"id": "m"}, 3]}}})) == [{"id": "m"}]
-    assert R.items(R.unwrapped({"result": {"content": [{"type": "text", "text": "no json"}, {"type": "text", "text": '[{"id": "n"}]'}]}})) == [{"id": "n"}]
-    with pytest.raises(RuntimeError):
-        R.unwrapped({"error": {"message": "no"}})
+def answered(spark, *answers, kind="application/json"):
+    return R.meetings_told(spark.createDataFrame([(k, kind, a) for k, a in enumerate(answers)], "page int, kind string, answer string"))
+
+
+def test_meeting_answers(spark):
+    one = spark.createDataFrame([('event: x\r\n\r\nevent: y\ndata: {"a":\ndata:1}\n\ndata: later\n',), ("event: x\n\n",)], "a string")
+    assert [r[0] for r in one.select(R.first_event(F.col("a"))).collect()] == ['{"a":\n1}', None]
+    got = answered(
+        spark, json.dumps({"result": {"structuredContent": {"meetings": [{"id": "m", "attendees": [{"name": "A"}]}, 3]}}}),
+        json.dumps({"result": {"content": [{"type": "text", "text": "no json"}, {"type": "text", "text": '[{"id": "n", "title": "T"}]'}]}}), "[]", json.dumps([{"id": "after the end"}]),
+    ).collect()
+    assert sorted((r.page, r.meeting_id, r.title, r.truncated) for r in got) == [(0, "m", None, False), (1, "n", "T", False)]
+    assert next(r.attendees[0].name for r in got if r.page == 0) == "A"
+    assert answered(spark, '{"results": [{"id": "x"}]}').head().truncated
+    for bad in (json.dumps({"error": {"message": "no"}}), "no json"):
+        with pytest.raises(Exception, match="the meeting service"):
+            answered(spark, bad).collect()
+    with pytest.raises(Exception, match="gave no JSON"):
+        answered(spark, "event: x\n\n", kind="text/event-stream").collect()
 
 
 def fake_source():
@@ -99,7 +112,7 @@ def fake_source():
 
 def test_meeting_source(spark):
     spark.dataSource.register(fake_source())
-    rows = spark.read.format("meeting_pages").option("url", "x").load()
+    rows = R.meetings_told(spark.read.format("meeting_pages").option("url", "x").load())
     assert sorted(r.meeting_id for r in rows.collect()) == ["m0", "m1"]
     listed = R.listing(rows).collect()
     assert listed[0].title == "Untitled meeting" and listed[0].attendees == ["a@b.c"]
