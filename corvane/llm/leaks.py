@@ -2,8 +2,9 @@
 
 The n-grams of the normalised evaluation items form a hash table that every task receives. Tasks scan the word windows of their
 documents against it and verify the hits by comparing document and item word by word along their diagonals, and by chaining the
-equal runs of neighbouring diagonals, which altered words of more or fewer tokens part. The documents are read once and never shuffled. The table holds one entry for each word of the items; should they exceed
-``slice_words``, the documents are scanned once for each slice of items, so that what is broadcast stays bounded.
+equal runs of neighbouring diagonals, which altered words of more or fewer tokens part. The documents are read once and never shuffled, passages
+are removed in the same scan. The table holds one entry for each word of the items; should they exceed
+``slice_words``, slices of them are taken one after the other, and only one is on the driver or broadcast at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.lineage import cut
+
 # Fixed patterns of markup that is no part of a text's words. All replacements keep the length.
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿*`~]+")
 ENTITY = re.compile(r"&#?\w{1,31};")
@@ -32,7 +38,7 @@ WORD = re.compile("[^\\W_](?:[^\\W_]|\x00)*")
 # What stands between the tokens of one word: baker's, well-known, 1,000.
 INNER = re.compile("['’‘ʼ‐‑.,:/_&-]\x00*")
 
-LEAKS = "item_id long, first_char int, last_char int, words int, altered int"
+LEAKS = ["item_id", "first_char", "last_char", "words", "altered"]
 
 
 def _entity(match: re.Match) -> str:
@@ -75,34 +81,47 @@ def inner(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.array([int(k > 0 and INNER.fullmatch(text, spans[k - 1][1], a) is not None) for k, (a, _) in enumerate(spans)], dtype=np.int64)
 
 
-def stock_openings(texts: list[str], shared_by: int = 3) -> set[str]:
-    """First sentences that at least ``shared_by`` different items open with."""
-    seen: dict[str, set[str]] = defaultdict(set)
-    for text in texts:
-        first = re.match(r"\s*[^.:?!\n]{1,200}[.:?!\n]", text)
-        if first:
-            seen[" ".join(tokens(first[0]))].add(text)
-    return {opening for opening, owners in seen.items() if len(owners) >= shared_by and opening}
+LONGEST_OPENING = 100  # words; first sentences of more than 200 characters are none
+
+
+def openings(items: DataFrame, shared_by: int = 3) -> DataFrame:
+    """Items (``item_id, text``, distinct) with ``skip``: how many of their first words are a first sentence that ``shared_by`` different texts open with."""
+
+    @F.pandas_udf("struct<opening:string,begins:array<string>>")
+    def begun(texts: pd.Series) -> pd.DataFrame:
+        firsts, begins = [], []
+        for text in texts:
+            first = re.match(r"\s*[^.:?!\n]{1,200}[.:?!\n]", text)
+            firsts.append(" ".join(tokens(first[0])) if first else "")
+            words = tokens(text)[:LONGEST_OPENING]
+            begins.append([" ".join(words[: k + 1]) for k in range(len(words))])
+        return pd.DataFrame({"opening": firsts, "begins": begins})
+
+    heads = cut(items.withColumn("b", begun("text")).select("item_id", "text", "b.*"))
+    stock = heads.where("opening <> ''").groupBy("opening").agg(F.countDistinct("text").alias("n")).where(F.col("n") >= shared_by).select(F.col("opening").alias("begin"))
+    held = heads.select("item_id", "text", F.posexplode("begins").alias("place", "begin")).join(stock, "begin", "left_semi")
+    skips = held.groupBy("item_id", "text").agg((F.max("place") + 1).alias("skip"))
+    return items.join(skips, ["item_id", "text"], "left").select("item_id", "text", F.coalesce("skip", F.lit(0)).alias("skip"))
 
 
 class ItemIndex:
-    """Words of the items as numbers, and where each n-gram of words occurs in them."""
+    """Words of the items as numbers, and where each n-gram of words occurs in them. Items are told apart by their place in the list."""
 
-    def __init__(self, items: list[tuple[int, str]], stock: set[str], gram: int) -> None:
+    def __init__(self, items: list[tuple[int, str, int]], gram: int) -> None:
         self.gram, self.number, self.words, self.parts = gram, {}, {}, {}
+        self.names = [item for item, _, _ in items]
         places = defaultdict(list)
-        for item, text in items:
+        for nth, (_, text, skip) in enumerate(items):
             clean = bare(text)
             spans = [m.span() for m in WORD.finditer(clean)]
             found = [normal(clean[a:b]) for a, b in spans]
-            opening = next((s.split() for s in stock if found[: len(s.split())] == s.split()), [])
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in found[len(opening) :]], dtype=np.int64)
-            self.words[item] = ids
-            self.parts[item] = np.cumsum(inner(clean, spans)[len(opening) :])
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in found[skip:]], dtype=np.int64)
+            self.words[nth] = ids
+            self.parts[nth] = np.cumsum(inner(clean, spans)[skip:])
             for at, key in enumerate(self.keys(ids)):
-                places[int(key)].append((item, at))
+                places[int(key)].append((nth, at))
         self.places = dict(places)
-        self.sorted_keys = np.array(sorted(self.places), dtype=np.uint64).astype(np.uint64)
+        self.sorted_keys = np.array(sorted(self.places), dtype=np.uint64)
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """A hash of each window of ``gram`` numbers; equal hashes are verified later."""
@@ -274,9 +293,89 @@ def verified(
     return out
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, run: int = 15, window: int = 24, one_in: int = 7, gram: int = 4, slice_words: int = 2_000_000
-) -> DataFrame:
+@dataclass(frozen=True)
+class Measure:
+    """What counts as material of an item: ``run`` equal words, or ``window`` words with one in ``one_in`` altered; found by n-grams of ``gram`` words."""
+
+    run: int = 15
+    window: int = 24
+    one_in: int = 7
+    gram: int = 4
+
+    def __post_init__(self) -> None:
+        if self.gram > self.window // (self.window // self.one_in + 1) or self.gram > self.run:
+            raise ValueError("a passage could hold no intact n-gram of this length")
+
+
+class Finder:
+    """Finds the passages of a slice of items in texts. Numbers of words that were seen are kept."""
+
+    def __init__(self, index: ItemIndex, measure: Measure) -> None:
+        self.index, self.measure = index, measure
+        self.known: dict[str, int] = {}
+
+    def passages(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """(item, first character, last one (excluded), words, altered words) of all passages in a text."""
+        clean = bare(text)
+        words = WORD.findall(clean)
+        known, number = self.known, self.index.number
+        ids = list(map(known.get, words))
+        if None in ids:
+            if len(known) > 500_000:
+                known.clear()
+            for k, n in enumerate(ids):
+                if n is None:
+                    ids[k] = known[words[k]] = number.get(normal(words[k]), 0)
+        spans: list[tuple[int, int]] = []
+
+        def parts() -> np.ndarray:
+            spans.extend(m.span() for m in WORD.finditer(clean))
+            return inner(clean, spans)
+
+        m = self.measure
+        found = verified(np.array(ids, dtype=np.int64), self.index, m.run, m.window, m.one_in, parts)
+        if found and not spans:
+            spans.extend(x.span() for x in WORD.finditer(clean))
+        return [(self.index.names[nth], spans[a][0], spans[b][1], b - a + 1, altered) for nth, held in found.items() for a, b, altered in held]
+
+    def cleaned(self, text: str) -> str:
+        """The text without its passages. What a cut brings together may be a passage again, so it is looked at until there is none."""
+        while found := sorted((a, b) for _, a, b, _, _ in self.passages(text)):
+            at, kept = 0, []
+            for first, last in found:
+                kept.append(text[at : max(at, first)])
+                at = max(at, last)
+            text = "".join([*kept, text[at:]])
+        return text
+
+
+def _slices(items: DataFrame, slice_words: int) -> Iterator[list[tuple[int, str, int]]]:
+    """The usable items, a slice at a time: each of about ``slice_words`` words, and only one of them is on the driver."""
+    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    ready = cut(openings(cut(wanted)))
+    words = ready.agg(F.sum(F.length("text"))).head()[0] or 0
+    count = max(1, -(-words // (6 * slice_words)))
+    if count == 1:
+        yield [tuple(r) for r in ready.orderBy("item_id", "text").collect()]
+        return
+    numbered = ready.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    for k in range(count):
+        yield [tuple(r) for r in numbered.where(F.col("slice") == k).drop("slice").orderBy("item_id", "text").collect()]
+
+
+def _by_slices(items: DataFrame, measure: Measure, slice_words: int, step: Callable[[Broadcast, bool], None]) -> None:
+    """``step`` with a broadcast finder of each slice and whether it is the only one; if not, its work must be done when it returns."""
+    held = None
+    for part in _slices(items, slice_words):
+        if held is not None:
+            step(held, False)
+            held.unpersist(blocking=True)
+        earlier, held = held, items.sparkSession.sparkContext.broadcast((ItemIndex(part, measure.gram), measure))
+        alone = earlier is None
+    step(held, alone)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, measure: Measure = Measure(), slice_words: int = 2_000_000) -> DataFrame:
     """Documents that hold material of evaluation items.
 
     ``docs`` needs ``doc_id, text``, ``items`` needs ``item_id, text``; other columns are ignored. Result: ``doc_id``, ``item_id``,
@@ -286,98 +385,72 @@ def find_leaks(
     invisible characters don't count. First sentences that several items share are no material. Null and empty texts and empty tables
     give no rows; null item ids are left out; items given twice count once, and items with the same id and other text are each looked for.
     """
-    if gram > window // (window // one_in + 1) or gram > run:
-        raise ValueError("a passage could hold no intact n-gram of this length")
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    listed = [(r.item_id, r.text) for r in wanted.orderBy("item_id", "text").toLocalIterator()]
-    stock = stock_openings([text for _, text in listed])
-    slices: list[list] = [[]]
-    size = 0
-    for item, text in listed:
-        if slices[-1] and (size > slice_words or slices[-1][-1][0] == item):
-            slices, size = [*slices, []], 0
-        slices[-1].append((item, text))
-        size += len(text) // 4
-    context = docs.sparkSession.sparkContext
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for part in slices:
-        shared = context.broadcast(ItemIndex(part, stock, gram))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            number = index.number
-            known: dict[str, int] = {}
+    found: list[DataFrame] = []
+
+    def step(shared: Broadcast, alone: bool) -> None:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(*shared.value)
             for batch in batches:
-                rows: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "first_char", "last_char", "words", "altered")}
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    clean = bare(text)
-                    words = WORD.findall(clean)
-                    ids = list(map(known.get, words))
-                    if None in ids:
-                        if len(known) > 500_000:
-                            known.clear()
-                        for k, n in enumerate(ids):
-                            if n is None:
-                                ids[k] = known[words[k]] = number.get(normal(words[k]), 0)
-                    spans: list[tuple[int, int]] = []
-
-                    def parts(clean=clean, spans=spans):
-                        spans.extend(m.span() for m in WORD.finditer(clean))
-                        return inner(clean, spans)
-
-                    found = verified(np.array(ids, dtype=np.int64), index, run, window, one_in, parts)
-                    if found:
-                        spans = spans or [m.span() for m in WORD.finditer(clean)]
-                        for item, a, b, altered in ((i, *passage) for i, held in found.items() for passage in held):
-                            for column, value in zip(rows, (doc, item, spans[a][0], spans[b][1], b - a + 1, altered)):
-                                rows[column].append(value)
-                yield pa.RecordBatch.from_pydict(
-                    rows, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int32()) for c in list(rows)[2:])])
-                )
-
-        leaks = source.mapInArrow(scan, f"doc_id long, {LEAKS}")
-        out = leaks if out is None else out.unionByName(leaks)
+                rows = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for hit in finder.passages(text)]
+                columns = zip(*rows) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 2 else pa.int32()) for n, c in enumerate(columns)], ["doc_id", *LEAKS])
+
+        leaks = source.mapInArrow(scan, "doc_id long, item_id long, first_char int, last_char int, words int, altered int")
+        found.append(leaks if alone else cut(leaks))
+
+    _by_slices(items, measure, slice_words, step)
+    out = found[0]
+    for leaks in found[1:]:
+        out = out.unionByName(leaks)
     return out
 
 
-def remove_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents without the passages found; (``doc_id``, ``text``). Ids must be unique; null ids and texts stay."""
-    spans = leaks.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_char", "last_char"))).alias("spans"))
+def remove_leaks(docs: DataFrame, items: DataFrame, measure: Measure = Measure(), slice_words: int = 2_000_000) -> DataFrame:
+    """The documents without the passages that ``find_leaks`` finds in them: (``doc_id``, ``text``), found and cut in one scan.
 
-    @F.pandas_udf("string")
-    def without(text, found):
-        kept = []
-        for t, pairs in zip(text, found):
-            if t is None or pairs is None or not len(pairs):
-                kept.append(t)
-                continue
-            at, parts = 0, []
-            for pair in pairs:
-                parts.append(t[at : max(at, pair["first_char"])])
-                at = max(at, pair["last_char"])
-            kept.append("".join([*parts, t[at:]]))
-        import pandas as pd
+    Every row stays, so do null ids and texts and repeated rows; a text that was a passage throughout becomes empty. Nothing that counts as
+    material of an item is left. If there are several slices of items, the documents are written once for each, again and again until a pass cuts nothing.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    left = docs.select("doc_id", "text", F.lit(False).alias("cut"))
+    single = False
+
+    def step(shared: Broadcast, alone: bool) -> None:
+        nonlocal left, single
+        single = alone
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(*shared.value)
+            for batch in batches:
+                before = batch.column("text").to_pylist()
+                texts = [None if t is None else finder.cleaned(t) for t in before]
+                touched = [was or a != b for was, a, b in zip(batch.column("cut").to_pylist(), before, texts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(touched, pa.bool_())], ["doc_id", "text", "cut"])
 
-        return pd.Series(kept, dtype=object)
+        left = left.mapInArrow(scan, f"doc_id {kind}, text string, cut boolean")
+        left = left if alone else cut(left)
 
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
-    touched = joined.where(F.col("spans").isNotNull()).select("doc_id", without("text", "spans").alias("text"))
-    return joined.where(F.col("spans").isNull()).select("doc_id", "text").unionByName(touched)
+    while True:
+        _by_slices(items, measure, slice_words, step)
+        # What one slice's cut brings together may be a passage of a slice before.
+        if single or left.where("cut").isEmpty():
+            return left.select("doc_id", "text")
+        left = left.withColumn("cut", F.lit(False))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold material of evaluation items."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return find_leaks(*_tables(spark, sf_dir)).select("doc_id", "item_id").distinct()
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the leaked passages."""
-    return remove_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), _leaks(spark, sf_dir))
+    return remove_leaks(*_tables(spark, sf_dir))
 
 
 def queries() -> dict:

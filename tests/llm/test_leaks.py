@@ -1,4 +1,4 @@
-from corvane.llm.leaks import bare, best_window, find_leaks, remove_leaks, stock_openings, tokens
+from corvane.llm.leaks import bare, best_window, find_leaks, openings, remove_leaks, tokens
 
 ITEM = "Read this and answer. " + " ".join(f"word{c}{d}" for c in "abcdef" for d in "uvwxyz")
 W = ITEM.split()[4:]
@@ -41,8 +41,9 @@ def docs_and_items(spark):
 
 def test_find(spark):
     docs, items = docs_and_items(spark)
-    assert stock_openings([r.text for r in items.collect() if r.text]) == {"read this and answer"}
-    for slice_words in (2_000_000, 5):
+    skips = {r.text: r.skip for r in openings(items.where("text IS NOT NULL").select("item_id", "text").distinct()).collect()}
+    assert skips == {r.text: 4 if r.text.startswith("Read") else 0 for r in items.collect() if r.text is not None}
+    for slice_words in (2_000_000, 10):
         got = find_leaks(docs, items, slice_words=slice_words).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 1), (3, 1), (9, 1)]
         assert {r.doc_id: r.altered for r in got} == {1: 0, 3: 3, 9: 0}
@@ -52,7 +53,7 @@ def test_find(spark):
 def test_remove(spark):
     docs, items = docs_and_items(spark)
     docs = docs.dropDuplicates(["doc_id"])
-    clean = {r.doc_id: r.text for r in remove_leaks(docs, find_leaks(docs, items)).collect()}
+    clean = {r.doc_id: r.text for r in remove_leaks(docs, items).collect()}
     assert clean[1].startswith("Before. ") and clean[1].endswith(" after") and "word" not in clean[1].lower()
     assert clean[2] == " ".join(W[5:19]) and clean[5] is None and len(clean) == 9
 
@@ -76,7 +77,22 @@ def test_all_passages(spark):
         3: "start " + " ".join(W[15:32]) + " middle " + " ".join(W[:15]), 4: " ".join(W[:20]) + " odd pair " + " ".join(W[20:29]) + " middle " * 9 + " ".join(W[:14]),
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    leaks = find_leaks(docs, spark.createDataFrame([(1, " ".join(W))], "item_id long, text string"))
-    assert sorted((r.doc_id, r.words) for r in leaks.collect()) == [(1, 20), (1, 30), (2, 16), (2, 16), (3, 15), (3, 17), (4, 31)]
-    clean = {r.doc_id: r.text.split() for r in remove_leaks(docs, leaks).collect()}
+    items = spark.createDataFrame([(1, " ".join(W))], "item_id long, text string")
+    assert sorted((r.doc_id, r.words) for r in find_leaks(docs, items).collect()) == [(1, 20), (1, 30), (2, 16), (2, 16), (3, 15), (3, 17), (4, 31)]
+    clean = {r.doc_id: r.text.split() for r in remove_leaks(docs, items).collect()}
     assert clean == {1: ["middle", "end"], 2: ["start"] + ["middle"] * 60, 3: ["start", "middle"], 4: ["middle"] * 9 + W[:14]}
+
+
+def test_nothing_is_left(spark):
+    other = [f"other{k}" for k in range(40)]
+    texts = {
+        1: " ".join(W[:20] + W[:30]), 2: " ".join(W[:18] + ["an", "odd", "insert"] + W[18:]), 3: " ".join(W[:12] + other[:20] + W[12:24]), 4: " ".join(W) + "\n" + " ".join(other) + " " + " ".join(W), 5: None, 6: "",
+    }
+    docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()] + [(None, texts[1], "x"), (6, "", "x")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(1, " ".join(W)), (2, " ".join(other)), (2, " ".join(W[::-1]))] + [(k, f"item {k} " + " ".join(f"v{k}x{i}" for i in range(20))) for k in range(10, 40)], "item_id long, text string")
+    for slice_words in (2_000_000, 20):
+        clean = remove_leaks(docs, items, slice_words=slice_words)
+        assert find_leaks(clean, items).count() == 0
+        got = sorted((r.doc_id or 0, r.text) for r in clean.collect() if r.text is not None)
+        assert len(got) == 7 and [t.split() for _, t in got] == [[], [], [], [], [], [], []] and clean.where("text IS NULL").count() == 1
+    assert remove_leaks(docs.where("false"), items).count() == 0 and remove_leaks(docs, items.where("false")).count() == 8
