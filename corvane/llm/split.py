@@ -1,8 +1,8 @@
 """Cutting oversized texts into pieces at natural boundaries, with an overlap between neighbours.
 
-Each text gets a prefix array of word offsets and sorted arrays of boundaries (block ends, line ends, sentence ends),
-counted in words. A piece ends at the last block end that a binary search finds under the limit; failing that at the
-last line end, the last sentence end, or hard at the limit. The next piece starts ``overlap`` words further back.
+Each text gets a prefix array of token offsets and sorted arrays of boundaries (block ends, line ends, sentence ends),
+counted in tokens. A token is a word, or a part of one that is very long. A piece ends at the last block end that a binary search finds under the limit; failing that at the
+last line end, the last sentence end, or hard at the limit, if need be within a word. The next piece starts ``overlap`` tokens further back.
 Every row is cut by itself, so the job has no shuffle besides the removal of rows given twice.
 """
 
@@ -22,6 +22,8 @@ FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 BULLET = re.compile(r" {0,3}(?:[-*+]|\d+\.)(?:\s|$)")
 SENTENCE_END = re.compile(r"[.!?…][\"'”’)\]*_]*$")
 
+TOKEN_CHARS = 100
+
 PIECES = "array<struct<piece_no:int,line_start:long,words:int,text:string,block_lines:array<long>>>"
 
 
@@ -65,9 +67,14 @@ def blocks(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     return found, lines
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of a text begin and end: its words, those of more than ``TOKEN_CHARS`` characters in parts of so many."""
+    return [(a, min(a + TOKEN_CHARS, m.end())) for m in re.finditer(r"\S+", text) for a in range(m.start(), m.end(), TOKEN_CHARS)]
+
+
 def cut(text: str, first_line: int | None, limit: int, overlap: int) -> list[dict]:
     """Pieces of one text, in order. ``first_line`` is the line number of the text's first line."""
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    spans = tokens(text)
     starts, total = [a for a, _ in spans], len(spans)
     found, lines = blocks(text)
     block_at = [bisect_left(starts, offset) for offset, _ in found]
@@ -92,7 +99,7 @@ def cut(text: str, first_line: int | None, limit: int, overlap: int) -> list[dic
         pieces.append({
             "piece_no": len(pieces),
             "line_start": None if first_line is None else first_line + line,
-            "words": end - begin,
+            "words": len(text[starts[begin] : spans[end - 1][1]].split()),
             "text": text[lines[line] if whole_line else starts[begin] : spans[end - 1][1]],
             "block_lines": [] if first_line is None else [first_line + n for _, n in here],
         })
@@ -101,15 +108,15 @@ def cut(text: str, first_line: int | None, limit: int, overlap: int) -> list[dic
 
 
 def split_oversized(df: DataFrame, limit: int = 240, overlap: int = 36) -> DataFrame:
-    """Pieces of every row whose ``text`` has more than ``limit`` words.
+    """Pieces of every row whose ``text`` has more than ``limit`` words, or more than ``100 * limit`` characters.
 
     Needs the columns ``id``, ``heading_path``, ``line_start`` and ``text``; others are ignored. Result: ``chunk_id``,
     ``piece_no`` from 0, ``heading_path``, ``line_start`` (line of the document where the piece's text starts), ``words`` (at most
     ``limit``), ``text`` and ``block_lines`` (lines where a block starts in the piece, its overlap left out).
     Rows given twice (same id) count once, the smallest row in sort order; rows with a null id are told apart by
     their text. Null, empty and short texts give no rows, nor does an empty table. A null ``line_start`` gives null lines and no block lines. A
-    single block longer than the limit is cut at line ends, then sentence ends, then hard, so a very long text without
-    white space stays one word and one piece.
+    single block longer than the limit is cut at line ends, then sentence ends, then hard. Of a word of more than 100 characters each
+    100 count like a word and may be cut apart, so a piece has at most ``100 * limit`` characters between its words' white space, also where a text has no white space.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
@@ -119,7 +126,7 @@ def split_oversized(df: DataFrame, limit: int = 240, overlap: int = 36) -> DataF
         return pd.Series([cut(t, None if pd.isna(n) else int(n), limit, overlap) for t, n in zip(text, first)])
 
     long_ones = df.select("id", "heading_path", F.col("line_start").cast("long").alias("line_start"), "text").where(
-        word_count(F.col("text")) > limit
+        (F.length("text") > TOKEN_CHARS * limit) | (word_count(F.col("text")) > limit)
     )
     once = (
         long_ones.groupBy("id", F.when(F.col("id").isNull(), F.sha2("text", 256)).alias("nameless"))
