@@ -68,3 +68,9 @@ RELATIONS_SQL = f"""relation AS (
   SELECT src, dst, type, 1.0 + 0.5 * (count(*) - 1) AS weight
   FROM (SELECT {sql_slug('subject')} AS src, {sql_slug('value')} AS dst, lower({sql_strip('predicate')}) AS type FROM assertions)
   WHERE src <> '' AND dst <> '' AND src <> dst AND type <> '' GROUP BY ALL)"""
+UNIT_SQL = """unit AS (SELECT sha, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v
+    FROM (SELECT sha, min(vec)::DOUBLE[] AS v FROM vectors WHERE len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(vec, lambda x: x <> 0)) GROUP BY sha))"""
+KNN_SQL = f"""{UNIT_SQL}, first_chunk AS (SELECT sha, min(id) AS chunk FROM chunks GROUP BY sha),
+  sim AS (SELECT a.sha AS x, b.sha AS y, round(list_dot_product(a.v, b.v), 9) AS c FROM unit a JOIN unit b ON a.sha <> b.sha),
+  near_four AS (SELECT * FROM sim WHERE c >= 0.5 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 4),
+  knn AS (SELECT f.chunk AS src, g.chunk AS dst, round(c, 6) AS weight FROM near_four JOIN first_chunk f ON f.sha = x JOIN first_chunk g ON g.sha = y)"""

@@ -76,7 +76,7 @@ def query_words(spark: SparkSession, d: str) -> DataFrame:
 def chunk_sha(spark: SparkSession, d: str) -> DataFrame:
     """Content key of each chunk from path, heading and text."""
     rows = read(spark, d, "chunks").where("text IS NOT NULL").dropDuplicates(["id"]).join(_docs(spark, d).select("doc_id", "rel_path"), "doc_id")
-    key = F.concat_ws("\x01", F.col("rel_path"), F.coalesce("heading_path", F.lit("Document")), F.col("text"))
+    key = F.concat_ws("\0", F.col("rel_path"), F.coalesce("heading_path", F.lit("Document")), F.col("text"))
     return rows.select("id", F.sha2(key, 256).alias("key"))
 
 
@@ -196,7 +196,7 @@ SQL = {
       k AS (SELECT doc_id, all_w, list_filter(all_w, lambda w: length(w) > 1 AND NOT list_contains([{', '.join(repr(w) for w in __import__('corvane.functions.text', fromlist=['x']).STOP_WORDS)}], w)) AS kept FROM t),
       c AS (SELECT doc_id, CASE WHEN len(kept) > 0 THEN kept ELSE all_w END AS w FROM k)
       SELECT doc_id, unnest(generate_series(0, len(w) - 1)) AS place, unnest(w) AS term FROM c WHERE len(w) > 0""",
-    "chunk_sha": """SELECT DISTINCT c.id, sha256(rel_path || chr(1) || coalesce(heading_path, 'Document') || chr(1) || c.text) AS key
+    "chunk_sha": """SELECT DISTINCT c.id, sha256(rel_path || chr(0) || coalesce(heading_path, 'Document') || chr(0) || c.text) AS key
       FROM chunks c JOIN documents d USING (doc_id) WHERE c.text IS NOT NULL""",
     "chunk_windows": rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
       s AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(0, len(ws) - 37), 204)) AS a FROM w WHERE len(ws) > 0)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import markdown as M
 from corvane.functions.text import STOP_WORDS, query_terms, slug, strip_space
 from corvane.operators import state
-from corvane.operators.components import connected_components
+from corvane.operators.merge import merge_groups, repointed
+from corvane.operators.substrings import contained
 from corvane.plans.base import AS_OF, CHUNKS_SQL, MENTIONS_SQL, RELATIONS_SQL, chunks, mentions, read, relations, sql_slug, sql_strip, today
 
 COUNTED = ("sources", "documents", "chunks", "vectors", "entities", "entity_aliases", "assertions", "meetings", "transcript_turns")
@@ -83,16 +84,19 @@ def thin_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    """Subjects with more than one open fact of a predicate that holds one value at a time. At most the first 20 values are listed."""
+    """Open facts of a subject and predicate that hold one value at a time and have more than one: each with its value and place."""
     open_facts = _facts(spark, d).where("functional AND until IS NULL AND subject <> ''")
-    return open_facts.groupBy("subject", "predicate").agg(F.count("*").alias("facts"), F.countDistinct(F.lower("value")).alias("values")).where("facts > 1")
+    several = open_facts.groupBy("subject", "predicate").agg(F.count("*").alias("facts")).where("facts > 1")
+    paths = read(spark, d, "documents").select("doc_id", "rel_path")
+    listed = open_facts.join(several, ["subject", "predicate"]).join(paths, "doc_id")
+    return listed.select("subject", "predicate", "value", "since", F.concat_ws(":", "rel_path", "line").alias("at"), "facts")
 
 
 def duplicate_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Open facts stated alike in more than one file."""
+    """Facts stated alike in more than one file."""
     paths = read(spark, d, "documents").select("doc_id", "rel_path")
-    open_facts = _facts(spark, d).where("functional AND until IS NULL AND subject <> ''").join(paths, "doc_id")
-    return open_facts.groupBy("subject", "predicate", F.lower("value").alias("value")).agg(F.countDistinct("rel_path").alias("files")).where("files > 1")
+    stated = _facts(spark, d).join(paths, "doc_id")
+    return stated.groupBy("subject", "predicate", F.lower("value").alias("value")).agg(F.countDistinct("rel_path").alias("files")).where("files > 1")
 
 
 def ageing_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -169,16 +173,22 @@ def entity_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Entities in whose slug that of an entity without description stands as whole words, up to eight for each: runs of words are joined, pairs not compared."""
+    """For each entity without description, up to eight others whose slug contains its slug."""
     named = read(spark, d, "entities").where("norm <> ''").select("id", "norm", F.coalesce(strip_space(F.col("description")), F.lit("")).alias("description"))
-    asked = named.where("description = ''").select(F.col("id").alias("asked"), F.col("norm").alias("part"))
-    parts = F.split("norm", "-")
-    starts = F.sequence(F.lit(1), F.size(parts))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), "-"))))
-    other = named.select("id", "norm", F.explode(F.array_distinct(runs)).alias("part"))
-    pairs = asked.join(other, "part").where("asked <> id")
+    asked = named.where("description = ''").select(F.col("id").alias("needle_id"), F.col("norm").alias("needle"))
+    pairs = contained(asked, named.select(F.col("id").alias("text_id"), F.col("norm").alias("text"))).where("needle_id <> text_id")
+    found = pairs.select(F.col("needle_id").alias("asked"), F.col("text_id").alias("id")).join(named.select("id", "norm"), "id")
     best = Window.partitionBy("asked").orderBy("norm", "id")
-    return pairs.withColumn("place", F.row_number().over(best)).where("place <= 8").select("asked", "id", "place")
+    return found.withColumn("place", F.row_number().over(best)).where("place <= 8").select("asked", "id", "place")
+
+
+def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """For the slug of every alias the entity that it names: the one whose own slug it is, else the first that has it as an alias."""
+    entities = read(spark, d, "entities").select("id", "norm")
+    aliases = read(spark, d, "entity_aliases").select(F.col("entity_id").alias("id"), slug(F.col("alias")).alias("name")).where("name <> ''").distinct()
+    named = entities.select(F.col("norm").alias("name"), F.col("id"), F.lit(0).alias("by_alias")).unionByName(aliases.join(entities.select("id"), "id").withColumn("by_alias", F.lit(1)))
+    asked = aliases.select("name").distinct()
+    return named.join(asked, "name", "left_semi").groupBy("name").agg(F.min(F.struct("by_alias", "id")).alias("m")).select("name", F.col("m.id").alias("id"), (F.col("m.by_alias") == 0).alias("own"))
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
@@ -199,16 +209,25 @@ def mutual_pairs(spark: SparkSession, d: str) -> DataFrame:
     return claims.where("a < b").join(claims.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
 
 
+def _merge_members(spark: SparkSession, d: str) -> DataFrame:
+    """(component, node, norm, name, mentions) of entities that name each other by aliases, chains included."""
+    pairs = mutual_pairs(spark, d)
+    seen = mentions(spark, d).groupBy(F.col("entity").alias("norm")).agg(F.count("*").alias("mentions"))
+    entities = read(spark, d, "entities").select(F.col("id").alias("node"), "norm", strip_space(F.col("name")).alias("name"))
+    return merge_groups(pairs, entities.join(seen, "norm", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0))))
+
+
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of entities linked by alias claims in either direction: the keeper (most aliases, then the smallest id) and the longest name."""
-    groups = connected_components(_claims(spark, d), "a", "b")
-    sized = read(spark, d, "entity_aliases").groupBy(F.col("entity_id").alias("node")).agg(F.countDistinct("alias").alias("aliases"))
-    names = read(spark, d, "entities").select(F.col("id").alias("node"), strip_space(F.col("name")).alias("name"))
-    rows = groups.join(names, "node").join(sized, "node", "left").withColumn("aliases", F.coalesce("aliases", F.lit(0)))
-    return rows.groupBy("component").agg(
-        F.count("*").alias("entities"), F.min(F.struct((-F.col("aliases")).alias("x"), F.col("node").alias("keeper"))).alias("k"),
-        F.min(F.struct((-F.length("name")).alias("x"), F.col("name").alias("name"))).alias("l"),
-    ).select("component", "entities", F.col("k.keeper").alias("keeper"), F.col("l.name").alias("label"))
+    """Groups of entities that name each other: the keeper (most mentions, then the smallest id) and the longest name."""
+    return _merge_members(spark, d).groupBy("component", "keeper", "label").agg(F.count("*").alias("entities")).select("component", "entities", "keeper", "label")
+
+
+def merged_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations after the merge plan: ends that were merged point to their keeper, and each triple is held once."""
+    members = _merge_members(spark, d)
+    keepers = members.where("node = keeper").select("component", F.col("norm").alias("keeper_norm"))
+    moved = members.where("node <> keeper").join(keepers, "component").select("norm", "keeper_norm")
+    return repointed(relations(spark, d), moved)
 
 
 def longest_description(spark: SparkSession, d: str) -> DataFrame:
@@ -248,6 +267,35 @@ def lease_pull(spark: SparkSession, d: str) -> DataFrame:
     return pulled.where((F.col("status") == "leased") & (F.col("updated_at") == F.lit(NOW).cast("timestamp"))).select("sha")
 
 
+def document_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of the older files after all dated ones were put in: their keys once, with the newer row."""
+    docs = read(spark, d, "documents").select("source", "rel_path", "sha", "mtime", "doc_date")
+    old = docs.where("mtime < 1704067200").select("source", "rel_path", F.lit("before").alias("sha"), "mtime")
+    return state.upsert(old, docs.where("doc_date IS NOT NULL"), ["source", "rel_path"])
+
+
+def queue_complete(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of results that were handed in for the first chunk of every document: done, or skipped with the reason."""
+    handed = chunks(spark, d, "ordinal", "sha").where("ordinal = 0").select("sha").distinct()
+    new, skipped = state.complete(_queue(spark, d), "sha", handed, F.lit(NOW).cast("timestamp"))
+    done = new.where("status = 'done'").join(handed, "sha", "left_semi").join(skipped, "sha", "left_anti").select("sha", F.lit("done").alias("outcome"))
+    return done.unionByName(skipped.select("sha", F.col("reason").alias("outcome")))
+
+
+def stale_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that garbage collection drops: their text is no longer held."""
+    return read(spark, d, "vectors").where("sha IS NOT NULL").select("sha").distinct().join(read(spark, d, "chunks").select("sha"), "sha", "left_anti")
+
+
+def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
+    """For each source its chunks, how many different texts they hold, and how many of these have no vector."""
+    docs = read(spark, d, "documents").select("doc_id", "source")
+    with_vector = read(spark, d, "vectors").where("vec IS NOT NULL").select("sha").distinct().withColumn("has", F.lit(True))
+    rows = chunks(spark, d, "doc_id", "sha").join(docs, "doc_id")
+    texts = rows.groupBy("source", "sha").agg(F.count("*").alias("chunks")).join(with_vector, "sha", "left")
+    return texts.groupBy("source").agg(F.sum("chunks").alias("chunks"), F.count("*").alias("texts"), F.count_if(F.col("has").isNull()).alias("without_vector"))
+
+
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
     """Changes between the files before and after: documents were there before if older than 2024, and had another text if their id is divisible by 7."""
     docs = read(spark, d, "documents").select("source", "rel_path", "sha", "doc_id", "mtime", "doc_date")
@@ -260,6 +308,11 @@ _FACT_SQL = f"""fact AS (SELECT DISTINCT doc_id, line, {sql_slug('subject')} AS
   {sql_strip('since')} AS since, nullif({sql_strip('until')}, '') AS until, functional FROM assertions)"""
 _LINKED = "linked AS (SELECT DISTINCT doc_id FROM mention JOIN chunk ON chunk.id = chunk_id)"
 _CLAIMS = f"claim AS (SELECT DISTINCT a.entity_id AS a, e.id AS b FROM (SELECT entity_id, {sql_slug('alias')} AS s FROM entity_aliases) a JOIN entities e ON e.norm = a.s WHERE a.s <> '' AND a.entity_id <> e.id)"
+_MERGE = f"""{MENTIONS_SQL}, {_CLAIMS}, mutual AS (SELECT x.a, x.b FROM claim x JOIN claim y ON x.a = y.b AND x.b = y.a),
+      reach AS (SELECT DISTINCT a AS node, a AS other FROM mutual UNION SELECT r.node, m.b FROM reach r JOIN mutual m ON m.a = r.other),
+      grp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+      member AS (SELECT component, node, norm, {sql_strip('name')} AS name, (SELECT count(*) FROM mention WHERE entity = norm) AS mentions FROM grp JOIN entities ON entities.id = node),
+      plan AS (SELECT *, first_value(node) OVER (PARTITION BY component ORDER BY mentions DESC, node) AS keeper, first_value(name) OVER (PARTITION BY component ORDER BY length(name) DESC, name) AS label FROM member)"""
 _QUEUE = """queue AS (SELECT sha, CASE (('0x' || substr(sha, 1, 2))::INT % 3) WHEN 0 THEN 'done' WHEN 1 THEN 'leased' ELSE 'pending' END AS status,
   make_timestamp((1782777600 - ('0x' || substr(sha, 1, 2))::INT * 60)::BIGINT * 1000000) AS updated_at FROM (SELECT DISTINCT sha FROM vectors WHERE sha IS NOT NULL))"""
 _AGE = f"CASE WHEN length(since) = 4 THEN try_cast(since || '-01-01' AS DATE) WHEN length(since) = 7 THEN try_cast(since || '-01' AS DATE) WHEN length(since) = 10 THEN try_cast(since AS DATE) END"
@@ -280,10 +333,10 @@ SQL = {
       WHERE source_id IN (SELECT id FROM sources WHERE enrich) AND NOT EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = d.doc_id)""",
     "thin_documents": f"""WITH {CHUNKS_SQL}, w AS (SELECT doc_id, sum(length(text) - length(replace(text, ' ', ''))) AS words FROM chunk GROUP BY doc_id)
       SELECT doc_id, source, rel_path, words FROM documents LEFT JOIN w USING (doc_id) WHERE words IS NULL OR words < 60""",
-    "contradictions": f"""WITH {_FACT_SQL} SELECT subject, predicate, count(*) AS facts, count(DISTINCT lower(value)) AS "values" FROM fact
-      WHERE functional AND until IS NULL AND subject <> '' GROUP BY ALL HAVING count(*) > 1""",
+    "contradictions": f"""WITH {_FACT_SQL}, o AS (SELECT *, count(*) OVER (PARTITION BY subject, predicate) AS facts FROM fact WHERE functional AND until IS NULL AND subject <> '')
+      SELECT subject, predicate, value, since, rel_path || ':' || line AS at, facts FROM o JOIN documents USING (doc_id) WHERE facts > 1""",
     "duplicate_facts": f"""WITH {_FACT_SQL} SELECT subject, predicate, lower(value) AS value, count(DISTINCT rel_path) AS files FROM fact JOIN documents USING (doc_id)
-      WHERE functional AND until IS NULL AND subject <> '' GROUP BY ALL HAVING count(DISTINCT rel_path) > 1""",
+      GROUP BY ALL HAVING count(DISTINCT rel_path) > 1""",
     "ageing_facts": f"""WITH {_FACT_SQL}, aged AS (SELECT *, (2026 - year({_AGE})) * 12 + 6 - month({_AGE}) AS months FROM fact WHERE functional AND until IS NULL)
       SELECT doc_id, line, subject, predicate, value, since, months FROM aged WHERE months >= 12""",
     "superseded": """SELECT doc_id, rel_path, superseded_by, superseded_by = 'self' OR superseded_by IN (SELECT regexp_replace(rel_path, '^.*/', '') FROM documents) AS held
@@ -312,16 +365,27 @@ SQL = {
     "entity_documents": f"""WITH {CHUNKS_SQL}, {MENTIONS_SQL}, n AS (SELECT entity, doc_id, count(*) AS mentions FROM mention JOIN chunk ON chunk.id = chunk_id GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mentions DESC, doc_id) AS place FROM n QUALIFY place <= 20""",
     "did_you_mean": f"""SELECT a.id AS asked, b.id, row_number() OVER (PARTITION BY a.id ORDER BY b.norm, b.id) AS place
-      FROM entities a JOIN entities b ON a.id <> b.id AND contains('-' || b.norm || '-', '-' || a.norm || '-') AND b.norm <> ''
+      FROM entities a JOIN entities b ON a.id <> b.id AND contains(b.norm, a.norm)
       WHERE coalesce({sql_strip('a.description')}, '') = '' AND a.norm <> '' QUALIFY place <= 8""",
+    "entity_lookup": f"""WITH al AS (SELECT DISTINCT entity_id, {sql_slug('alias')} AS name FROM entity_aliases SEMI JOIN entities ON entities.id = entity_id WHERE {sql_slug('alias')} <> '')
+      SELECT a.name, coalesce(any_value(e.id), min(a.entity_id)) AS id, any_value(e.id) IS NOT NULL AS own FROM al a LEFT JOIN entities e ON e.norm = a.name GROUP BY a.name""",
     "alias_claims": f"WITH {_CLAIMS} SELECT a, b FROM claim",
     "mutual_pairs": f"WITH {_CLAIMS} SELECT x.a, x.b FROM claim x JOIN claim y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
-    "merge_plan": f"""WITH RECURSIVE {_CLAIMS}, e AS (SELECT a, b FROM claim UNION SELECT b, a FROM claim),
-      reach AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other),
-      grp AS (SELECT node, min(other) AS component FROM reach GROUP BY node), n AS (SELECT entity_id AS node, count(DISTINCT alias) AS aliases FROM entity_aliases GROUP BY entity_id)
-      SELECT component, count(*) AS entities, (list(node ORDER BY coalesce(aliases, 0) DESC, node))[1] AS keeper,
-        (list({sql_strip('name')} ORDER BY length({sql_strip('name')}) DESC, {sql_strip('name')}))[1] AS label
-      FROM grp JOIN entities ON entities.id = node LEFT JOIN n USING (node) GROUP BY component""",
+    "merge_plan": f"""WITH RECURSIVE {_MERGE} SELECT component, count(*) AS entities, any_value(keeper) AS keeper, any_value(label) AS label FROM plan GROUP BY component""",
+    "merged_relations": f"""WITH RECURSIVE {_MERGE}, {RELATIONS_SQL},
+      moved AS (SELECT p.norm, k.norm AS keeper_norm FROM plan p JOIN entities k ON k.id = p.keeper WHERE p.node <> p.keeper),
+      r AS (SELECT src AS s, dst AS t, type, weight, coalesce(m.keeper_norm, src) AS src, coalesce(n.keeper_norm, dst) AS dst
+        FROM relation LEFT JOIN moved m ON m.norm = src LEFT JOIN moved n ON n.norm = dst)
+      SELECT src, dst, type, weight::DOUBLE AS weight FROM r WHERE src <> dst
+      QUALIFY row_number() OVER (PARTITION BY src, dst, type ORDER BY (s <> src)::INT + (t <> dst)::INT, s, t) = 1""",
+    "document_upsert": """SELECT source, rel_path, 'before' AS sha, mtime FROM documents o WHERE mtime < 1704067200
+        AND NOT EXISTS (SELECT 1 FROM documents n WHERE n.source = o.source AND n.rel_path = o.rel_path AND n.doc_date IS NOT NULL)
+      UNION ALL SELECT source, rel_path, sha, mtime FROM documents WHERE doc_date IS NOT NULL""",
+    "queue_complete": f"""WITH {CHUNKS_SQL}, {_QUEUE} SELECT h.sha, CASE WHEN status IS NULL THEN 'unknown' WHEN status = 'done' THEN 'already done' ELSE 'done' END AS outcome
+      FROM (SELECT DISTINCT sha FROM chunk WHERE ordinal = 0 AND sha IS NOT NULL) h LEFT JOIN queue USING (sha)""",
+    "stale_vectors": "SELECT DISTINCT sha FROM vectors WHERE sha IS NOT NULL AND sha NOT IN (SELECT sha FROM chunks WHERE sha IS NOT NULL)",
+    "distinct_texts": f"""WITH {CHUNKS_SQL} SELECT source, count(*) AS chunks, count(DISTINCT c.sha) AS texts, count(DISTINCT c.sha) FILTER (c.sha NOT IN (SELECT sha FROM vectors WHERE vec IS NOT NULL)) AS without_vector
+      FROM chunk c JOIN documents USING (doc_id) GROUP BY source""",
     "longest_description": """SELECT type, split_part(norm, '-', 1) AS word, (list(description ORDER BY length(description) DESC, id))[1] AS description
       FROM entities WHERE description IS NOT NULL GROUP BY ALL""",
     "enqueue_missing": f"""WITH {CHUNKS_SQL}, {_QUEUE}, new AS (SELECT DISTINCT chunk.sha FROM chunk JOIN documents USING (doc_id) JOIN sources s ON s.id = source_id WHERE enrich)
@@ -340,8 +404,8 @@ SQL = {
 def queries() -> dict:
     named = [
         status_counts, source_stats, overview_health, hubs, orphans, thin_documents, contradictions, duplicate_facts, ageing_facts, superseded, corpus_view,
-        communities_view, theme_search, suggestions, entity_report_related, entity_documents, did_you_mean, alias_claims, mutual_pairs, merge_plan, longest_description,
-        enqueue_missing, lease_reset, lease_pull, index_diff,
+        communities_view, theme_search, suggestions, entity_report_related, entity_documents, did_you_mean, entity_lookup, alias_claims, mutual_pairs, merge_plan, merged_relations, longest_description,
+        enqueue_missing, lease_reset, lease_pull, index_diff, document_upsert, queue_complete, stale_vectors, distinct_texts,
     ]
     return {q.__name__: q for q in named}
 

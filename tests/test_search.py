@@ -5,14 +5,18 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvane.operators.components import connected_components
 from corvane.operators.dense import nearest, usable
 from corvane.operators.fusion import diversified, reciprocal_ranks
-from corvane.operators.graph import communities, neighbours, personalised_pagerank
+from corvane.operators.community import inner_relations, member_digests, pending, shown_members, themes
+from corvane.operators.graph import communities, modularity, neighbours, personalised_pagerank
 from corvane.operators.lexical import bm25
 from corvane.operators.ordered import fill_forward, running_sum
+from corvane.operators.merge import merge_groups, repointed
 from corvane.operators.sections import packed
+from corvane.operators.substrings import contained
 
 
 def test_bm25_formula(spark):
@@ -157,4 +161,58 @@ def test_sections():
     got = packed(text, 20, 5, 3)
     assert [g[0] for g in got] == ["Document", "One › Deep"] and got[0][1] == 4
     assert got[1][2].endswith("short tail")  # a short end joins the chunk before, also under another heading
-    assert packed("", 20, 5, 3) == [] and packed("few", 20, 5, 3) == [["Document", 1, "few"]]
+    assert packed("", 20, 5, 3) == [] and packed("few", 20, 5, 3) == [("Document", 1, "few")]
+
+
+def test_contained(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc-") for _ in range(rng.randrange(0, 9))) for _ in range(80)]
+    needles = ["".join(rng.choice("abc-") for _ in range(rng.randrange(0, 5))) for _ in range(60)]
+    a = spark.createDataFrame([*enumerate(needles), (999, None)], "needle_id long, needle string")
+    b = spark.createDataFrame([*enumerate(texts), (999, None)], "text_id long, text string")
+    want = {(i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n and n in t}
+    assert {tuple(r) for r in contained(a, b).collect()} == want and len(want) > 50
+    assert contained(a.where("false"), b).count() == contained(a, b.where("false")).count() == 0
+
+
+def test_merge(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
+    rows = [(1, "ibm", "IBM", 3), (2, "big-blue", "Big Blue", 9), (3, "i-b-m", "I. B. M. Corporation", 9), (4, "x", "X", 50), (5, "p", None, 0), (6, "q", "Q", 0)]
+    entities = spark.createDataFrame(rows, "node long, norm string, name string, mentions long")
+    got = {r.node: (r.component, r.keeper, r.label) for r in merge_groups(pairs, entities).collect()}
+    assert got == {**{k: (1, 2, "I. B. M. Corporation") for k in (1, 2, 3)}, 5: (5, 5, "Q"), 6: (5, 5, "Q")}
+    relations = [("ibm", "x", "t", 1.0), ("big-blue", "x", "t", 2.0), ("i-b-m", "ibm", "t", 1.0), ("x", "i-b-m", "u", 4.0), ("x", "ibm", "u", 5.0)]
+    moved = spark.createDataFrame([("ibm", "big-blue"), ("i-b-m", "big-blue")], "norm string, keeper_norm string")
+    out = repointed(spark.createDataFrame(relations, "src string, dst string, type string, weight double"), moved)
+    assert {tuple(r) for r in out.collect()} == {("big-blue", "x", "t", 2.0), ("x", "big-blue", "u", 4.0)}
+
+
+def test_community_context(spark):
+    members = spark.createDataFrame([("g", f"n{k}") for k in range(5)] + [("h", "n9")], "community string, node string")
+    seen = spark.createDataFrame([("n3", 7), ("n1", 7)], "node string, mentions long")
+    shown = {(r.community, r.place): (r.node, r.mentions, r.members) for r in shown_members(members, seen, 3).collect()}
+    assert shown == {("g", 1): ("n1", 7, 5), ("g", 2): ("n3", 7, 5), ("g", 3): ("n0", 0, 5), ("h", 1): ("n9", 0, 1)}
+    relations = spark.createDataFrame([("n1", "n3", "t", 1.0), ("n1", "n9", "t", 9.0), ("n3", "n0", "t", 2.0), ("n4", "n1", "t", 5.0)], "src string, dst string, type string, weight double")
+    inner = inner_relations(shown_members(members, seen, 3), relations)
+    assert [(r.src, r.dst, r.place) for r in inner.orderBy("place").collect()] == [("n3", "n0", 1), ("n1", "n3", 2)]
+    digests = member_digests(members)
+    summaries = digests.withColumn("digest", F.when(F.col("community") == "g", F.lit("older")).otherwise(F.col("digest")))
+    assert [r.community for r in pending(digests, summaries).collect()] == ["g"] and pending(digests, digests).count() == 0
+    asked = spark.createDataFrame([(1, ["cost", "audit"], [1.0, 0.0]), (2, [], None)], "query_id long, terms array<string>, vec array<double>")
+    told = spark.createDataFrame([("g", ["audit"], 8.0, [0.6, 0.8]), ("h", ["x"], 5.0, None)], "community string, terms array<string>, rating double, vec array<double>")
+    scores = {(r.query_id, r.community): (r.score, r.place) for r in themes(asked, told).collect()}
+    assert scores[1, "g"] == (round(0.6 * 0.6 + 0.25 * 0.5 + 0.12, 9), 1) and scores[2, "g"] == (0.12, 1) and scores[1, "h"] == (0.075, 2)
+
+
+def test_communities_settle(spark):
+    """As good as moving nodes one by one, on a graph with planted groups."""
+    rng = random.Random(9)
+    edges = {(min(a, b), max(a, b)) for a in range(120) for b in range(a) if rng.random() < (0.4 if a // 15 == b // 15 else 0.02)}
+    df = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in edges], "src string, dst string, weight double")
+    found = communities(df, least=1).cache()
+    planted = spark.createDataFrame([(f"n{a}", str(a // 15)) for a in range(120)], "node string, community string")
+    ours, best = modularity(df, found).head(), modularity(df, planted).head()
+    assert found.count() == found.select("node").distinct().count() == len({n for e in edges for n in e})
+    degree = Counter(n for e in edges for n in e)
+    by_hand = sum(1 for a, b in edges if a // 15 == b // 15) / len(edges) - sum(sum(degree[n] for n in range(15 * g, 15 * g + 15)) ** 2 for g in range(8)) / (2 * len(edges)) ** 2
+    assert abs(best.modularity - by_hand) < 1e-9 and ours.modularity >= best.modularity - 0.02
