@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.lineage import cut
+from corvane.lineage import written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -17,13 +17,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     repeated edges have no effect. Raises if ``max_rounds`` don't suffice.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node"))
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(max_rounds):
         offered = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
         nearest = offered.unionByName(labels).groupBy("node").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        new = cut(
+        new = written(
             nearest.join(jump, "near", "left")
             .select("node", F.least("near", F.coalesce("far", "near")).alias("label"))
         )

@@ -50,6 +50,14 @@ def lease(queue: DataFrame, key: str, order: list[Column], limit: int, now: Colu
     ])
 
 
+def mark_missing(queue: DataFrame, key: str, held: DataFrame, now: Column) -> DataFrame:
+    """Leased rows whose file is not ``held`` (``key``) become missing. That is no held status: such rows are offered again."""
+    rows = queue.join(held.select(key).distinct().withColumn("_held", F.lit(True)), key, "left")
+    gone = (F.col("status") == "leased") & F.col("_held").isNull()
+    new = rows.withColumns({"updated_at": F.when(gone, now).otherwise(F.col("updated_at")), "status": F.when(gone, "missing").otherwise(F.col("status"))})
+    return new.select(*queue.columns)
+
+
 def complete(queue: DataFrame, key: str, done: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(new queue, skipped): the keys in ``done`` become done; unknown and already done ones are skipped with the reason."""
     named = done.select(key).where(F.col(key).isNotNull()).distinct()

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import slug
-from corvane.plans.base import read, sql_slug
+from corvane.operators import state
+from corvane.plans.base import AS_OF, read, sql_slug
 from corvane.sources.meetings import file_stems, listing
 
 
+NOW = f"{AS_OF} 00:00:00"
+
+
 def _meetings(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "meetings").distinct()
 
@@ -50,6 +54,16 @@ def speaker_labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def meeting_pull(spark: SparkSession, d: str) -> DataFrame:
+    """Every meeting after the twenty longest waiting were pulled: leased, or missing and so offered again where no text of it is held; the others stay pending."""
+    waiting = _meetings(spark, d).groupBy("meeting_id").agg(F.min("created_at").alias("held_at"))
+    queue = waiting.select("meeting_id", "held_at", F.lit("pending").alias("status"), F.lit(NOW).cast("timestamp").alias("updated_at"))
+    now = F.lit(NOW).cast("timestamp")
+    held = read(spark, d, "transcript_turns").where("text IS NOT NULL").select("meeting_id").distinct()
+    after = state.mark_missing(state.lease(queue, "meeting_id", [F.asc("held_at")], 20, now), "meeting_id", held, now)
+    return after.select("meeting_id", "status", (F.col("status") == "missing").alias("offered"))
+
+
 _M = "m AS (SELECT DISTINCT meeting_id, title, created_at, attendees FROM meetings)"
 _NAMES = "list_transform(attendees, lambda a: coalesce(nullif(a.name, ''), nullif(a.email, ''), ''))"
 SQL = {
@@ -63,13 +77,16 @@ SQL = {
       FROM (SELECT DISTINCT meeting_id FROM meetings) LEFT JOIN f USING (meeting_id) LEFT JOIN l USING (meeting_id)""",
     "transcript_markdown": r"""SELECT meeting_id, seg_id, coalesce(nullif(trim(speaker), ''), 'Unknown') || ': ' || trim(regexp_replace(text, '[\r\n\t ]+', ' ', 'g')) AS line
       FROM transcript_turns WHERE text IS NOT NULL""",
+    "meeting_pull": """WITH m AS (SELECT meeting_id, row_number() OVER (ORDER BY min(created_at) NULLS FIRST, meeting_id) AS n FROM meetings GROUP BY meeting_id),
+      s AS (SELECT meeting_id, CASE WHEN n > 20 THEN 'pending' WHEN meeting_id IN (SELECT meeting_id FROM transcript_turns WHERE text IS NOT NULL) THEN 'leased' ELSE 'missing' END AS status FROM m)
+      SELECT meeting_id, status, status = 'missing' AS offered FROM s""",
     "speaker_labels": f"""SELECT meeting_id, label, count(*) AS segments, coalesce(max(at_second) - min(at_second), 0)::BIGINT AS seconds
       FROM (SELECT meeting_id, {sql_slug('speaker')} AS label, at_second FROM transcript_turns WHERE speaker IS NOT NULL) WHERE label <> '' GROUP BY ALL""",
 }
 
 
 def queries() -> dict:
-    named = [meeting_listing, meeting_files, meeting_sync_diff, transcript_markdown, speaker_labels]
+    named = [meeting_listing, meeting_files, meeting_sync_diff, transcript_markdown, speaker_labels, meeting_pull]
     return {q.__name__: q for q in named}
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corvane.functions import markdown as M
 from corvane.functions.text import STOP_WORDS, query_terms, slug, strip_space
 from corvane.operators import state
+from corvane.operators.extraction import parse_payloads, write_back
 from corvane.operators.merge import merge_groups, repointed
 from corvane.operators.substrings import contained
-from corvane.plans.base import AS_OF, CHUNKS_SQL, MENTIONS_SQL, RELATIONS_SQL, chunks, mentions, read, relations, sql_slug, sql_strip, today
+from corvane.plans.base import AS_OF, CHUNKS_SQL, MENTIONS_SQL, RELATIONS_SQL, chunks, mentions, read, relations, sql_links, sql_slug, sql_strip, today
 
 COUNTED = ("sources", "documents", "chunks", "vectors", "entities", "entity_aliases", "assertions", "meetings", "transcript_turns")
 
@@ -296,6 +297,29 @@ def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     return texts.groupBy("source").agg(F.sum("chunks").alias("chunks"), F.count("*").alias("texts"), F.count_if(F.col("has").isNull()).alias("without_vector"))
 
 
+def _written_back(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables from write-back payloads, one for each text: the names that it links to, each related to the first one by name."""
+    names = F.array_sort(F.array_distinct(M.links(F.col("text"))))
+    found = read(spark, d, "chunks").where("sha IS NOT NULL").groupBy("sha").agg(F.min("text").alias("text")).select("sha", names.alias("names")).where(F.size("names") > 0)
+    result = F.struct(
+        "sha", F.transform("names", lambda n: F.struct(n.alias("name"), F.lit("Product").alias("type"), F.reverse(n).alias("description"), F.array(F.concat(F.lit("the "), n)).alias("aliases"))).alias("entities"),
+        F.transform("names", lambda n: F.struct(n.alias("src"), F.element_at("names", 1).alias("dst"), F.lit("stands beside").alias("type"))).alias("relations"),
+    )
+    payloads = found.select(F.col("sha").alias("seq"), F.to_json(F.array(result)).alias("payload"))
+    known = read(spark, d, "entity_aliases").select(F.col("entity_id").alias("id"), slug(F.col("alias")).alias("alias")).join(read(spark, d, "entities").select("id", "norm"), "id")
+    return write_back(parse_payloads(payloads), chunks(spark, d, "sha"), known)
+
+
+def written_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations written back from payloads that are made of the links of all texts, with their reinforced weight."""
+    return _written_back(spark, d)["relations"].select("src", "dst", "type", F.col("weight").cast("double").alias("weight"))
+
+
+def written_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions written back from payloads: each entity in every chunk that has its text."""
+    return _written_back(spark, d)["mentions"].select("chunk_id", F.col("norm").alias("entity"))
+
+
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
     """Changes between the files before and after: documents were there before if older than 2024, and had another text if their id is divisible by 7."""
     docs = read(spark, d, "documents").select("source", "rel_path", "sha", "doc_id", "mtime", "doc_date")
@@ -313,6 +337,7 @@ _MERGE = f"""{MENTIONS_SQL}, {_CLAIMS}, mutual AS (SELECT x.a, x.b FROM claim x
       grp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
       member AS (SELECT component, node, norm, {sql_strip('name')} AS name, (SELECT count(*) FROM mention WHERE entity = norm) AS mentions FROM grp JOIN entities ON entities.id = node),
       plan AS (SELECT *, first_value(node) OVER (PARTITION BY component ORDER BY mentions DESC, node) AS keeper, first_value(name) OVER (PARTITION BY component ORDER BY length(name) DESC, name) AS label FROM member)"""
+_LINKS = f"linked_text AS (SELECT sha, list_sort(list_filter({sql_links('t')}, lambda x: length(x) >= 2)) AS ns FROM (SELECT sha, min(text) AS t FROM chunks WHERE sha IS NOT NULL GROUP BY sha))"
 _QUEUE = """queue AS (SELECT sha, CASE (('0x' || substr(sha, 1, 2))::INT % 3) WHEN 0 THEN 'done' WHEN 1 THEN 'leased' ELSE 'pending' END AS status,
   make_timestamp((1782777600 - ('0x' || substr(sha, 1, 2))::INT * 60)::BIGINT * 1000000) AS updated_at FROM (SELECT DISTINCT sha FROM vectors WHERE sha IS NOT NULL))"""
 _AGE = f"CASE WHEN length(since) = 4 THEN try_cast(since || '-01-01' AS DATE) WHEN length(since) = 7 THEN try_cast(since || '-01' AS DATE) WHEN length(since) = 10 THEN try_cast(since AS DATE) END"
@@ -383,6 +408,9 @@ SQL = {
       UNION ALL SELECT source, rel_path, sha, mtime FROM documents WHERE doc_date IS NOT NULL""",
     "queue_complete": f"""WITH {CHUNKS_SQL}, {_QUEUE} SELECT h.sha, CASE WHEN status IS NULL THEN 'unknown' WHEN status = 'done' THEN 'already done' ELSE 'done' END AS outcome
       FROM (SELECT DISTINCT sha FROM chunk WHERE ordinal = 0 AND sha IS NOT NULL) h LEFT JOIN queue USING (sha)""",
+    "written_relations": f"""WITH {_LINKS}, p AS (SELECT x AS src, ns[1] AS dst FROM (SELECT ns, unnest(ns) AS x FROM linked_text))
+      SELECT src, dst, 'stands-beside' AS type, (1 + 0.5 * (count(*) - 1))::DOUBLE AS weight FROM p WHERE src <> dst GROUP BY src, dst""",
+    "written_mentions": f"""WITH {_LINKS} SELECT DISTINCT c.id AS chunk_id, x AS entity FROM (SELECT sha, unnest(ns) AS x FROM linked_text) JOIN chunks c USING (sha) WHERE length(x) >= 2""",
     "stale_vectors": "SELECT DISTINCT sha FROM vectors WHERE sha IS NOT NULL AND sha NOT IN (SELECT sha FROM chunks WHERE sha IS NOT NULL)",
     "distinct_texts": f"""WITH {CHUNKS_SQL} SELECT source, count(*) AS chunks, count(DISTINCT c.sha) AS texts, count(DISTINCT c.sha) FILTER (c.sha NOT IN (SELECT sha FROM vectors WHERE vec IS NOT NULL)) AS without_vector
       FROM chunk c JOIN documents USING (doc_id) GROUP BY source""",
@@ -405,7 +433,7 @@ def queries() -> dict:
     named = [
         status_counts, source_stats, overview_health, hubs, orphans, thin_documents, contradictions, duplicate_facts, ageing_facts, superseded, corpus_view,
         communities_view, theme_search, suggestions, entity_report_related, entity_documents, did_you_mean, entity_lookup, alias_claims, mutual_pairs, merge_plan, merged_relations, longest_description,
-        enqueue_missing, lease_reset, lease_pull, index_diff, document_upsert, queue_complete, stale_vectors, distinct_texts,
+        enqueue_missing, lease_reset, lease_pull, index_diff, document_upsert, queue_complete, stale_vectors, distinct_texts, written_relations, written_mentions,
     ]
     return {q.__name__: q for q in named}
 

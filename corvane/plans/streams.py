@@ -13,23 +13,35 @@ from corvane.streaming.ingest import facts_by_window
 
 
 def stream_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts by subject, predicate and day of loading, from a stream over all assertions."""
-    schema = read(spark, d, "assertions").schema
-    # A stream reads folders: the table's own, or the one that holds its file.
-    table = spark.read.parquet(f"{d}/assertions.parquet").inputFiles()[0].rsplit("/", 1)[0]
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "assertions*.parquet" if table.rstrip("/").endswith(d.rstrip("/").rsplit("/", 1)[-1]) else "*.parquet").parquet(table)
-    counted = facts_by_window(source.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")), watermark="3650 days")
-    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-    def store(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    query = counted.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = spark.read.parquet(f"{folder}/out")
-    newest = last.agg(F.max("batch").alias("batch"))
-    return last.join(F.broadcast(newest), "batch").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "subject", "predicate", "facts")
+    """Facts by subject, predicate and day of loading, from a stream over all assertions.
 
+    Windows are given off once, when the watermark has passed them. The rows are replayed in one batch, so none is late; the watermark's
+    delay is the span that the late rows of the table may have.
+    """
+    table = read(spark, d, "assertions").select("subject", "predicate", F.col("loaded_at").cast("timestamp").alias("loaded_at")).where("loaded_at IS NOT NULL")
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # The stream's source is a folder of its own: the table, and after it one row that moves the watermark past all windows.
+    table.write.parquet(f"{folder}/in")
+    last = table.agg(F.max("loaded_at").alias("loaded_at")).where("loaded_at IS NOT NULL")
+    last.select(F.lit(None).cast("string").alias("subject"), F.lit(END).alias("predicate"), (F.col("loaded_at") + F.expr("INTERVAL 30 DAYS")).alias("loaded_at")).write.parquet(f"{folder}/end")
+    source = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
+
+    def run(stream: DataFrame) -> None:
+        query = (
+            facts_by_window(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run(source)
+    spark.read.parquet(f"{folder}/end").write.mode("append").parquet(f"{folder}/in")
+    run(spark.readStream.schema(table.schema).parquet(f"{folder}/in"))
+    given = spark.read.schema("start timestamp, subject string, predicate string, facts long").parquet(f"{folder}/out")
+    return given.where(F.col("predicate") != END).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "subject", "predicate", "facts")
+
+
+#: The predicate of the row that ends a replay.
+END = "end of the table"
 
 SQL = {
     "stream_facts": f"""SELECT strftime(loaded_at, '%Y-%m-%d') AS day, {sql_slug('subject')} AS subject, lower({sql_strip('predicate')}) AS predicate, count(*) AS facts
