@@ -19,11 +19,14 @@ _RESULT = (
 )
 
 
-def parse_payloads(payloads: DataFrame) -> DataFrame:
+def parse_payloads(payloads: DataFrame, strict: bool = False) -> DataFrame:
     """(``seq``, ``sha``, ``entities``, ``relations``) of JSON texts (``seq, payload``): a list of results, or one under ``results``.
 
-    Texts that are no JSON, results without a sha and nulls give no rows.
+    Texts that are no JSON, results without a sha and nulls give no rows; with ``strict`` a text that is no JSON is an error.
     """
+    if strict:
+        broken = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+        payloads = payloads.withColumn("payload", F.when(broken, F.raise_error(F.concat(F.lit("no JSON in payload "), F.col("seq").cast("string")))).otherwise(F.col("payload")))
     bare = F.from_json("payload", f"array<{_RESULT}>")
     wrapped = F.from_json("payload", f"struct<results:array<{_RESULT}>>")["results"]
     listed = F.when(F.trim("payload").startswith("["), bare).otherwise(wrapped)

@@ -162,7 +162,34 @@ _FACT = M.FACT
 _CODE = rf"regexp_replace({sql_body('text')}, '(?s)```.*?```', '', 'g')"
 _REST = f"regexp_extract(l, '{_FACT}', 3)"
 
+def _sections_sql() -> str:
+    """Lines with running word counts, heading paths and cuts by recursion."""
+    later = "list_filter(ls, lambda l: l.i > {line} AND l.b > {s} AND l.e > {s} + 240 AND NOT l.tab)[1] AS x"
+    head = rf"'^(#{{1,6}})[{SPACE}]+([^\n]+?)[{SPACE}]*$'"
+    return rf"""WITH RECURSIVE body AS (SELECT doc_id, {sql_body('text')} AS b, text FROM documents WHERE text IS NOT NULL),
+      split AS (SELECT doc_id, length(text) - length(b) AS cut, substr(text, 1, length(text) - length(b)) AS front, {_lines('b')} AS ls FROM body),
+      line AS (SELECT doc_id, length(front) - length(replace(front, chr(10), '')) AS skipped, unnest(ls) AS t, generate_subscripts(ls, 1) AS i
+        FROM (SELECT doc_id, front, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM split)),
+      told AS (SELECT *, regexp_matches(t, {head}) AS head FROM line),
+      placed AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM told),
+      title AS (SELECT doc_id, n, length(regexp_extract(t, {head}, 1)) AS level, {sql_strip(f"rtrim(regexp_extract(t, {head}, 2), '#')")} AS title FROM placed WHERE head),
+      path AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, []::VARCHAR[] AS p FROM placed
+        UNION ALL SELECT path.doc_id, title.n, list_append(p[1:level - 1], title) FROM path JOIN title ON title.doc_id = path.doc_id AND title.n = path.n + 1),
+      word AS (SELECT doc_id, n, i, skipped, starts_with(ltrim(t), '|') AS tab, list_filter(regexp_split_to_array(t, '[{SPACE}]+'), lambda x: x <> '') AS ws FROM placed WHERE NOT head),
+      sum AS (SELECT *, sum(len(ws)) OVER (PARTITION BY doc_id, n ORDER BY i) AS e FROM word),
+      sec AS (SELECT doc_id, n, any_value(skipped) AS skipped, min(i) AS first, max(e) AS total, flatten(list(ws ORDER BY i)) AS ws, list({{'i': i, 'e': e, 'b': e - len(ws), 'tab': tab}} ORDER BY i) AS ls FROM sum GROUP BY doc_id, n),
+      cut AS (SELECT doc_id, n, 0::HUGEINT AS s, first AS line, {later.format(line='first', s='0')}, ls, total FROM sec
+        UNION ALL SELECT doc_id, n, ns, nl, {later.format(line='nl', s='ns')}, ls, total FROM (SELECT *, greatest(s, x.b - 36) AS ns, x.i AS nl FROM cut WHERE x IS NOT NULL)),
+      piece AS (SELECT doc_id, n, line, s, coalesce(x.b, total) AS e, x IS NULL AS tail FROM cut WHERE coalesce(x.b, total) > s),
+      own AS (SELECT *, e - s >= 18 OR NOT tail OR row_number() OVER (PARTITION BY doc_id ORDER BY n, line) = 1 AS kept FROM piece),
+      grouped AS (SELECT own.*, count(*) FILTER (kept) OVER (PARTITION BY doc_id ORDER BY n, line) AS k, array_to_string(ws[s + 1:e], ' ') AS words, skipped FROM own JOIN sec USING (doc_id, n))
+      SELECT doc_id, (k - 1)::INT AS ordinal, coalesce(nullif(arg_min(array_to_string(p, ' › '), (n, line)), ''), 'Document') AS heading_path,
+        (min(line) FILTER (kept) + any_value(skipped))::INT AS line_start, string_agg(words, ' ' ORDER BY n, line) AS text
+      FROM grouped JOIN path USING (doc_id, n) GROUP BY doc_id, k"""
+
+
 SQL = {
+    "heading_chunks": _sections_sql(),
     "frontmatter": f"WITH {FRONT_ROWS} SELECT doc_id, field, unnest(generate_series(0, len(items) - 1)) AS place, unnest(items) AS value FROM front WHERE len(items) > 0",
     "bold_meta": f"WITH {BOLD_ROWS} SELECT * FROM bold",
     "titles": f"SELECT doc_id, t AS title, {sql_slug('t')} AS slug FROM (SELECT doc_id, {_title('text', 'rel_path')} AS t FROM documents WHERE text IS NOT NULL)",

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from corvane.operators.extraction import parse_payloads, write_back
 
 
@@ -21,6 +23,8 @@ def test_write_back(spark):
     rows = [(1, json.dumps([one])), (2, json.dumps({"results": [two, three, {"sha": None}]})), (3, "no json"), (4, None), (5, "{}"), (6, "[]")]
     results = parse_payloads(spark.createDataFrame(rows, "seq int, payload string"))
     assert results.count() == 3
+    with pytest.raises(Exception, match="no JSON in payload 3"):
+        parse_payloads(spark.createDataFrame(rows, "seq int, payload string"), strict=True).collect()
     chunks = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "id long, sha string")
     known = spark.createDataFrame([("the-edge", "edge"), ("edgy", "edge")], "norm string, alias string")
     out = {k: {tuple(r) for r in v.collect()} for k, v in write_back(results, chunks, known).items()}

@@ -119,3 +119,11 @@ def test_meeting_source(spark):
     assert {r.rel_path for r in R.file_stems(R.listing(rows)).collect()} == {
         "meeting-transcripts/2026-01-02-untitled-meeting.md", "meeting-transcripts/2026-01-02-untitled-meeting-2.md",
     }
+
+
+def test_missing_files(spark):
+    now = F.lit("2026-06-30 00:00:00").cast("timestamp")
+    rows = [("a", "leased"), ("b", "leased"), ("c", "pending"), ("d", "done")]
+    queue = spark.createDataFrame(rows, "meeting_id string, status string").withColumn("updated_at", now)
+    held = spark.createDataFrame([("a",), ("a",), (None,)], "meeting_id string")
+    assert {r.meeting_id: r.status for r in state.mark_missing(queue, "meeting_id", held, now).collect()} == {"a": "leased", "b": "missing", "c": "pending", "d": "done"}
