@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.joins import small
 
-def member_digests(members: DataFrame, key: str = "community") -> DataFrame:
-    """(``key``, ``members``, ``digest``) of (``key``, ``node``): the digest changes with the members. A community is as large as its sorted list of names."""
-    listed = members.groupBy(key).agg(F.count("*").alias("members"), F.array_sort(F.collect_list("node")).alias("nodes"))
-    return listed.select(key, "members", F.sha2(F.array_join("nodes", ","), 256).alias("digest"))
+
+def member_digests(members: DataFrame) -> DataFrame:
+    """(``community``, ``members``, ``digest``) of (``community``, ``node``), each node once: the digest changes with the members, whatever their order.
+
+    It adds up the members' hashes in two ways, so a community of any size is reduced where its rows are.
+    """
+    first, second = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    sums = members.groupBy("community").agg(F.count("*").alias("members"), F.bit_xor(first).alias("x"), F.sum(F.pmod(second, F.lit(2**31))).alias("y"))
+    return sums.select("community", "members", F.sha2(F.concat_ws(",", "members", "x", "y"), 256).alias("digest"))
 
 
 def pending(digests: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -39,9 +45,9 @@ def themes(questions: DataFrame, summaries: DataFrame, limit: int = 6) -> DataFr
 
     ``questions`` has ``query_id, terms, vec``, ``summaries`` ``community, terms, rating, vec``; terms are arrays, vectors of unit length or null. The score is
     .6 of the cosine (0 where either has no vector or their sizes differ), .25 of the share of the question's terms that the summary has, and .15 of a tenth of the rating.
-    The questions are few and are broadcast by a checked size elsewhere; each summary is held against all of them.
+    The questions are a stated set, broadcast if they are few; each summary is held against all of them.
     """
-    asked = questions.select("query_id", F.array_distinct("terms").alias("asked"), F.col("vec").alias("qvec"))
+    asked = small(questions.select("query_id", F.array_distinct("terms").alias("asked"), F.col("vec").alias("qvec")), 10_000)
     rows = summaries.join(asked, F.lit(True))
     usable = F.col("vec").isNotNull() & F.col("qvec").isNotNull() & (F.size("vec") == F.size("qvec"))
     dot = F.aggregate(F.zip_with("vec", "qvec", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
