@@ -20,15 +20,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(max_rounds):
-        offered = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        nearest = offered.unionByName(labels).groupBy("node").agg(F.min("label").alias("near"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        offered = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        nearest = offered.unionByName(own).groupBy("node").agg(F.min("label").alias("near"), F.min("old").alias("old"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        new = written(
-            nearest.join(jump, "near", "left")
-            .select("node", F.least("near", F.coalesce("far", "near")).alias("label"))
-        )
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if not changed:
+        new = written(nearest.join(jump, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "old"))
+        labels = new.select("node", "label")
+        if new.where("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
