@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.lineage import cut
 from corvane.llm.leaks import WORD, bare, normal
+from corvane.operators.joins import small
 
 FENCED = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)")
 FRONT = re.compile(r"\A---\r?\n.*?\r?\n---\r?\n", re.S)
@@ -196,23 +197,21 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def labelled(docs: DataFrame, labels: DataFrame, areas: list[str], max_labelled: int) -> DataFrame:
-    """(text, areas, held) of the labelled documents; of as many as ``max_labelled``, chosen by a hash of their id."""
-    chosen = (
+def labelled(docs: DataFrame, labels: DataFrame, areas: list[str]) -> DataFrame:
+    """(text, areas, held) of all labelled documents."""
+    given = (
         labels.where(F.col("doc_id").isNotNull() & F.col("area").isin(areas))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("area")).alias("areas"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(given), "doc_id")
     return rows.select("text", "areas", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0).alias("held"))
 
 
 def train(known: DataFrame, areas: list[str], min_count: int = 2) -> tuple[AreaModels, AreaModels]:
     """Models of the documents that are not held out, and of all.
 
-    N-grams seen less than ``min_count`` times are left out. What is collected and broadcast is bounded by the number of labelled documents; the
+    N-grams seen less than ``min_count`` times are left out. What is collected and broadcast are the others of all labelled documents; the
     counting itself is distributed.
     """
     place = {area: k for k, area in enumerate(areas)}
@@ -278,12 +277,12 @@ def calibrate(known: DataFrame, models: AreaModels, least: int, share: float) ->
     return ties[len(ties) // 2]
 
 
-def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, least: int = 3, share: float = 0.2, max_labelled: int = 20_000) -> DataFrame:
+def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
     """Areas of every document: (``doc_id``, ``area``), one row for each area that at least ``least`` of its sentences or list items
     deal with, if they are at least ``share`` of those that deal with any area.
 
     ``docs`` needs ``doc_id, text``, ``labels`` ``doc_id, area``, ``areas`` ``area``; other columns are ignored. The models are
-    fitted on at most ``max_labelled`` labelled documents, the threshold on a fifth of them that its models have not seen; all documents are scored whole. Null texts and texts without sentences
+    fitted on all labelled documents, the threshold on a fifth of them that its models have not seen; all documents are scored whole. Null texts and texts without sentences
     give no rows; a document given twice is scored twice; labels for unknown documents or areas and repeated labels don't count. More than ``MAX_AREAS``
     areas are refused. Without
     usable labels, or with empty tables, the result is empty. Of areas that explain a sentence alike the first by name is taken.
@@ -295,7 +294,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, least: i
     kind = dict(rows.dtypes)["doc_id"]
     if not names:
         return rows.select("doc_id", F.lit(None).cast("string").alias("area")).where(F.lit(False))
-    known = cut(labelled(docs, labels, names, max_labelled))
+    known = cut(labelled(docs, labels, names))
     partial, models = train(known, names)
     held = known.where("held")
     # Of a handful of labelled documents none may be held out.
